@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Distinct pre-tokens whose ids a worker keeps; it forgets all of them when it has this many.
 MEMORY = 400_000
@@ -148,10 +149,8 @@ def encode(
     """
     added = ["token_ids"] * with_ids + ["n_tokens", "ids_sha256", "decoded_sha256"]
     base = docs.drop(*added)
-    types = {"token_ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
-    out = base.schema
-    for c in added:
-        out = out.add(c, types[c])
+    types = {"token_ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType()}
+    out = T.StructType([*base.schema.fields, *[T.StructField(c, types.get(c, T.StringType())) for c in added]])
     names, at = [*base.columns, *added], base.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,4 +181,4 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", o
             got = [c.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=names)
 
-    return base.mapInArrow(run, base.schema.add(out_col, "binary"))
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(out_col, T.BinaryType())]))
