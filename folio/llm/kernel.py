@@ -146,7 +146,7 @@ def shingle_hashes(h: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.nda
         out[np.repeat(out_first[:-1][long_], n) + at] = all_[np.repeat(first[:-1][long_], n) + at]
     for i in np.flatnonzero((counts > 0) & (counts < k)):
         w = h[first[i] : first[i + 1]]
-        out[out_first[i]] = mix((w * q[: len(w)]).sum(dtype=U64).reshape(1) + U64(len(w)) * U64(0xA24BAED4963EE407))[0]
+        out[out_first[i]] = mix((w * q[: len(w)]).sum(dtype=U64).reshape(1) + U64(len(w) * 0xA24BAED4963EE407 % (1 << 64)))[0]
     return out, out_first
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, shard
+from folio.llm import bpe, minhash, shard
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -26,9 +26,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
     "op2_bpe": op2_bpe,
+    "op6_minhash": op6_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
