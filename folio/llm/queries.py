@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, minhash, shard
+from folio.llm import bpe, minhash, shard, suffix
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -30,10 +30,15 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
     "op2_bpe": op2_bpe,
     "op6_minhash": op6_minhash,
+    "op7_suffix": op7_suffix,
 }
 
 ORACLE_SQL: dict[str, str] = {}
