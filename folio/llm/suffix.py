@@ -459,8 +459,9 @@ def remove_repeats(
     runs = keyed.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(_runs(length, cuts, text_col), _RUN)
     spans = runs.groupBy("range").applyInArrow(_merge(length), "__key long, ord int, spans binary")
     spans = spans.withColumn("__block", of_block(F.col("__key")))
-    fields = [*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in added[:3]], T.StructField(added[3], T.StringType())]
-    out = keyed.groupBy("__block").cogroup(spans.groupBy("__block")).applyInArrow(
+    if not with_text:
+        names = [id_col]
+    fields = [*docs.select(*names).schema.fields, *[T.StructField(c, T.LongType()) for c in added[:3]], T.StructField(added[3], T.StringType())]
+    return keyed.groupBy("__block").cogroup(spans.groupBy("__block")).applyInArrow(
         _cut(names, text_col, with_text), T.StructType(fields)
     )
-    return out if with_text else out.drop(text_col)
