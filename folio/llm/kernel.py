@@ -85,12 +85,24 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and the first word of each row (n + 1)."""
+@lru_cache(maxsize=1)
+def _alnum() -> np.ndarray:
+    """Bytes of words without ASCII punctuation: ASCII letters and digits and all of non-ASCII characters."""
+    out = np.zeros(256, bool)
+    out[128:] = True
+    out[48:58] = out[65:91] = out[97:123] = True
+    return out
+
+
+def words(buf: np.ndarray, offsets: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and the first word of each row (n + 1).
+
+    ``plain`` words have no ASCII punctuation or control characters either.
+    """
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = _tables()[4][buf]
+    solid = (_alnum() if plain else _tables()[4])[buf]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = solid[:-1]
@@ -117,9 +129,11 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * powers_for(len(prefix))[1][starts])
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    buf: np.ndarray, offsets: np.ndarray, lower: bool = True, plain: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word and the first word of each row (n + 1)."""
-    starts, ends, first = words(buf, offsets)
+    starts, ends, first = words(buf, offsets, plain)
     if not len(starts):
         return np.zeros(0, U64), first
     return span_hash(prefix_hash(buf, lower), starts, ends), first

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folio.llm import bpe, minhash, shard, suffix
+from folio.llm import bpe, minhash, shard, suffix, toxicity
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -34,11 +35,24 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def id_remainder(modulus: int, id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), id_remainder(3) != 1)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (id_remainder(3) == 1).alias("held_out"), "score", "predicted", "evidence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
     "op2_bpe": op2_bpe,
     "op6_minhash": op6_minhash,
     "op7_suffix": op7_suffix,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
