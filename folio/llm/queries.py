@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, minhash, shard, suffix, toxicity
+from folio.llm import bpe, langid, minhash, shard, suffix, toxicity
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -40,6 +40,13 @@ def id_remainder(modulus: int, id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, id_remainder(5) != 0)
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (id_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "bits", "rejected")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), id_remainder(3) != 1)
@@ -52,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op6_minhash": op6_minhash,
     "op7_suffix": op7_suffix,
+    "op8_langid": op8_langid,
     "op9_toxicity": op9_toxicity,
 }
 
