@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, langid, minhash, shard, suffix, toxicity
+from folio.llm import bpe, ctw, langid, minhash, shard, suffix, toxicity
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -54,6 +54,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_remainder(3) == 1).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ctw.score(_table(spark, sf_dir, "documents"), id_remainder(5) != 1)
+    return scored.withColumn("held_out", ~F.col("in_training")).drop("in_training")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
     "op2_bpe": op2_bpe,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_suffix": op7_suffix,
     "op8_langid": op8_langid,
     "op9_toxicity": op9_toxicity,
+    "op10_ctw": op10_ctw,
 }
 
 ORACLE_SQL: dict[str, str] = {}
