@@ -15,11 +15,25 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes handled at once; bounds the temporaries to about 100 bytes for each of these.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 
 
+@lru_cache(maxsize=1)
+def lean() -> None:
+    """Make this worker give large freed arrays back to the system, where the C library can."""
+    import ctypes
+    import sys
+
+    if sys.platform == "linux":
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 4 << 20)  # blocks from this size on are mapped, and unmapped when freed
+            libc.mallopt(-1, 8 << 20)  # free memory kept at the top of the heap
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> U64(32))
@@ -62,6 +76,7 @@ def powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its n + 1 offsets; null counts as empty."""
+    lean()
     if pa.types.is_string_view(col.type) or pa.types.is_binary_view(col.type):
         col = col.cast(pa.large_string())
     if col.null_count:

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from folio.llm import kernel as K
 
 #: Documents of a block, and k-grams sampled for the splitters: at most this many, of this many documents or so.
-BLOCK_ROWS, SAMPLE, SAMPLE_DOCS = 1500, 400_000, 4000
+BLOCK_ROWS, SAMPLE, SAMPLE_DOCS = 1000, 400_000, 4000
 _RUN = "range int, doc long, ord int, lcp binary, tail_n binary, tail binary, left_n binary, left binary, docs binary, ords binary, at binary"
 _RUN_NAMES = [x.split()[0] for x in _RUN.split(", ")]
 
@@ -119,6 +119,7 @@ def _requests(length: int, bits: int, text_col: str) -> Callable[[pa.Table], pa.
 
 def _answers(table: pa.Table) -> pa.Table:
     """Of each request, the hashes that occur twice or more anywhere."""
+    K.lean()
     blocks = table.column("__block").to_pylist()
     asked = [np.frombuffer(x, K.U64) for x in table.column("hashes").to_pylist()]
     many = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("many").to_pylist()]).astype(bool)
@@ -352,6 +353,7 @@ def _merge(length: int) -> Callable[[pa.Table], pa.Table]:
             p += n
 
     def run(table: pa.Table) -> pa.Table:
+        K.lean()
         spans, runs = Spans(), []
         for batch in table.to_batches(max_chunksize=256):
             for row in batch.to_pylist():
@@ -446,7 +448,7 @@ def remove_repeats(
     names = docs.columns
     rows = docs.count()
     blocks = max(1, -(-rows // BLOCK_ROWS))
-    bits = max(0, (blocks // 4).bit_length() - 1)
+    bits = max(0, (blocks // 2).bit_length() - 1)
     cuts = splitters(docs.select(text_col), rows, min(max(2, blocks // 2), SAMPLE // 8), length)
     # Lots keep blocks of documents together through all steps; the exchange by block is planned once and reused.
     of_block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("long")
