@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, ctw, langid, minhash, shard, suffix, toxicity
+from folio.llm import bpe, ctw, decontam, langid, minhash, shard, suffix, toxicity
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -27,6 +27,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
     "op2_bpe": op2_bpe,
+    "op3_decontam": op3_decontam,
     "op6_minhash": op6_minhash,
     "op7_suffix": op7_suffix,
     "op8_langid": op8_langid,
