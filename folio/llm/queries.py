@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, ctw, decontam, langid, minhash, shard, suffix, toxicity
+from folio.llm import bpe, ctw, decontam, html, langid, minhash, shard, suffix, toxicity
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -31,6 +31,10 @@ def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
     "op2_bpe": op2_bpe,
     "op3_decontam": op3_decontam,
+    "op4_html": op4_html,
     "op6_minhash": op6_minhash,
     "op7_suffix": op7_suffix,
     "op8_langid": op8_langid,
