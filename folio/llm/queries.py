@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, ctw, decontam, html, langid, minhash, shard, suffix, toxicity
+from folio.llm import bpe, ctw, decontam, html, langid, media, minhash, shard, suffix, toxicity
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -35,6 +35,12 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images: each vector of ``embeddings`` is drawn as one."""
+    images = media.drawn(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return media.copies(images, "vec_id", F.col("image"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_decontam": op3_decontam,
     "op4_html": op4_html,
+    "op5_media": op5_media,
     "op6_minhash": op6_minhash,
     "op7_suffix": op7_suffix,
     "op8_langid": op8_langid,
