@@ -25,7 +25,7 @@ from orders
 """
 
 BOXES = """
-select cast(l_orderkey as bigint) as doc_id, cast(l_linenumber as int) as det_idx,
+select cast(l_orderkey as bigint) as doc_id, cast((l_linenumber * 200003 + l_partkey) * 10007 + l_suppkey as bigint) as det_idx,
   cast(l_partkey % 500 as int) as x1, cast(l_suppkey * 13 % 400 as int) as y1,
   cast(l_partkey % 500 + 40 + cast(l_quantity as int) * 5 as int) as x2,
   cast(l_suppkey * 13 % 400 + 30 + l_partkey % 60 as int) as y2,
