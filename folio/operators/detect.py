@@ -34,7 +34,7 @@ def overlaps(boxes: DataFrame, same_label: bool = True) -> DataFrame:
     if same_label:
         on &= F.col("a.label") == F.col("b.label")
     pair = iou([F.col(f"a.{c}") for c in CORNERS], [F.col(f"b.{c}") for c in CORNERS])
-    return a.join(b, on).select(F.col("a.doc_id").alias("doc_id"), F.col("a.det_idx").alias("i"), F.col("b.det_idx").alias("j"), F.bround(pair, 6).alias("iou"))
+    return a.join(b, on).select(F.col("a.doc_id").alias("doc_id"), F.col("a.det_idx").alias("i"), F.col("b.det_idx").alias("j"), pair.alias("iou"))
 
 
 def kept_by_suppression(boxes: np.ndarray, conf: np.ndarray, threshold: np.ndarray | float) -> list[int]:

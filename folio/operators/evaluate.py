@@ -101,7 +101,7 @@ def matched(found: DataFrame, truth: DataFrame, keys: list[str], least: float =
     on = [F.col(f"f.{k}") == F.col(f"t.{k}") for k in keys]
     overlap = iou([F.col(f"f.{c}") for c in ("x1", "y1", "x2", "y2")], [F.col(f"t.{c}") for c in ("x1", "y1", "x2", "y2")])
     best = t.join(f, on, "left").groupBy(*[F.col(f"t.{k}") for k in keys], F.col("t.idx")).agg(F.coalesce(F.max(overlap), F.lit(0.0)).alias("best"))
-    return best.withColumn("hit", F.col("best") >= least).withColumn("best", F.bround("best", 6))
+    return best.withColumn("hit", F.col("best") >= least)
 
 
 def any_of(columns: list[Column]) -> Column:

@@ -26,7 +26,7 @@ _UNION = f"((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {_IO
 @query(
     "iou_pairs",
     with_roles(
-        f" select a.doc_id, a.det_idx as i, b.det_idx as j, round(cast({_IOU} as double) / {_UNION}, 6) as iou from boxes a join boxes b on a.doc_id = b.doc_id and a.det_idx < b.det_idx and a.label = b.label",
+        f" select a.doc_id, a.det_idx as i, b.det_idx as j, case when {_UNION} > 0 then cast({_IOU} as double) / {_UNION} end as iou from boxes a join boxes b on a.doc_id = b.doc_id and a.det_idx < b.det_idx and a.label = b.label",
         "boxes",
     ),
 )
@@ -145,7 +145,7 @@ def rescale_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         f""" , f as (select * from boxes where det_idx % 2 = 1), t as (select doc_id, det_idx as idx, x1 + 4 as x1, y1 + 2 as y1, x2 + 4 as x2, y2 as y2 from boxes),
         m as (select t.doc_id, t.idx, coalesce(max(case when {_UNION.replace("a.", "f.").replace("b.", "t.")} > 0 then cast({_IOU.replace("a.", "f.").replace("b.", "t.")} as double) / {_UNION.replace("a.", "f.").replace("b.", "t.")} end), 0.0) as best
           from t left join f on f.doc_id = t.doc_id group by all)
-        select doc_id, idx, round(best, 6) as best, best >= 0.8 as hit from m""",
+        select doc_id, idx, best, best >= 0.8 as hit from m""",
         "boxes",
     ),
 )
@@ -164,7 +164,7 @@ _BLUR = _PATCH.format(classes="case when l_linenumber % 7 = 0 then 'Other' when
 
 @query(
     "glare_level",
-    f"with p as ({_GLARE}), g as (select doc_id, round(avg(case when cls = 'GLARE' and conf > 0.85 then 1.0 else 0.0 end), 6) as level from p group by doc_id) select doc_id, level, case when level > 0 then 'bad' else 'good' end as verdict from g",
+    f"with p as ({_GLARE}), g as (select doc_id, round_even(avg(case when cls = 'GLARE' and conf > 0.85 then 1.0 else 0.0 end), 6) as level from p group by doc_id) select doc_id, level, case when level > 0 then 'bad' else 'good' end as verdict from g",
 )
 def glare_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.sql(_GLARE.replace("from lineitem", "from {l}"), l=table(spark, sf_dir, "lineitem"))
@@ -174,7 +174,7 @@ def glare_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "blur_level",
     f"""with p as ({_BLUR}), w as (select doc_id, case cls when 'NonBlur' then 1.0 when 'Blur5' then 0.5 when 'Blur10' then 0.0 end as w from p),
-    g as (select doc_id, coalesce(round(1 - avg(w), 6), 1.0) as level from w group by doc_id) select doc_id, level, case when level > 0.9 then 'good' else 'bad' end as verdict from g""",
+    g as (select doc_id, coalesce(round_even(1 - avg(w), 6), 1.0) as level from w group by doc_id) select doc_id, level, case when level > 0.9 then 'good' else 'bad' end as verdict from g""",
 )
 def blur_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.sql(_BLUR.replace("from lineitem", "from {l}"), l=table(spark, sf_dir, "lineitem"))

@@ -27,12 +27,12 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.scored(both.where(ascii_only))
 
 
-@query("eval_rows", with_roles(_SCORED + " select doc_id, field, round(cer, 6) as cer, round(quality, 6) as quality from s", "pairs"))
+@query("eval_rows", with_roles(_SCORED + " select doc_id, field, round_even(cer, 6) as cer, round_even(quality, 6) as quality from s", "pairs"))
 def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("doc_id", "field", F.bround("cer", 6).alias("cer"), F.bround("quality", 6).alias("quality"))
 
 
-_ACC = "count(*) as n, count(*) filter (where cer = 0) as exact, round(avg(cer), 6) as mean_cer, round(count(*) filter (where cer = 0) / count(*)::double, 6) as exact_rate from s"
+_ACC = "count(*) as n, count(*) filter (where cer = 0) as exact, round_even(avg(cer), 6) as mean_cer, round_even(count(*) filter (where cer = 0) / count(*)::double, 6) as exact_rate from s"
 
 
 @query("eval_overall", with_roles(f"{_SCORED} select {_ACC}", "pairs"))
@@ -79,7 +79,7 @@ def external_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     "stage_timings",
     with_roles(
         """ , m as (select base, stage, avg(ms) as mean_ms, count(*) as n from timings group by base, stage)
-        select base, stage, n, round(mean_ms, 4) as mean_ms, round(mean_ms / sum(mean_ms) over (partition by base), 6) as share from m""",
+        select base, stage, n, round_even(mean_ms, 4) as mean_ms, round_even(mean_ms / sum(mean_ms) over (partition by base), 6) as share from m""",
         "timings",
     ),
 )
@@ -118,7 +118,7 @@ def slowest_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
         """ , o as (select stage, least(ms / 1000.0::double, 1e9) as v, row_number() over (partition by stage order by ts, doc_id) as k from timings where user_id % 20 = 3),
         r as (select stage, k, 0.6::double * 0.7 + greatest(v, 0.05) * (1 - 0.7::double) as ema from o where k = 1 union all
           select o.stage, o.k, r.ema * 0.7 + greatest(o.v, 0.05) * (1 - 0.7::double) from r join o on o.stage = r.stage and o.k = r.k + 1)
-        select stage, round(arg_max(ema, k), 9) as ema from r group by stage""",
+        select stage, round_even(arg_max(ema, k), 9) as ema from r group by stage""",
         "timings",
     ).replace("with timings", "with recursive timings"),
 )
@@ -130,7 +130,7 @@ def ema_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "benchmark_means",
     """with o as (select o_orderstatus as k, avg(o_totalprice) as v from orders where o_orderkey % 2 = 0 group by 1), n as (select o_orderstatus as k, avg(o_totalprice) as v from orders where o_orderkey % 2 = 1 group by 1)
-    select k, round(avg(v), 3) as v from (select * from o union all select * from n) group by k""",
+    select k, round_even(avg(v), 3) as v from (select * from o union all select * from n) group by k""",
 )
 def benchmark_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "k")
