@@ -179,6 +179,17 @@ def shingle_hashes(h: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.nda
     return out, out_first
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values: by sorting, which is much faster here than numpy's hashing."""
+    s = np.sort(x)
+    if len(s) < 2:
+        return s
+    keep = np.empty(len(s), bool)
+    keep[0] = True
+    np.not_equal(s[1:], s[:-1], out=keep[1:])
+    return s[keep]
+
+
 def as_long(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's signed long."""
     return np.ascontiguousarray(x).view(np.int64)

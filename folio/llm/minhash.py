@@ -21,24 +21,23 @@ from folio.llm.store import discard, materialize
 
 #: Half of the bands hold minima, half maxima, each of ROWS permutations: 1 - (1 - 0.75^5)^48 = 1 - 2.3e-6.
 BANDS, ROWS = 48, 5
-#: Lowest bits of the signature, in four words, and how many must agree: 5.5 deviations below the mean at 0.75.
-BITS, AGREE = 240, 182
-#: Members of a bucket that meet at once in the second round.
-SIDE = 128
+#: Four bits of each signature value, in WORDS longs, and how many of the BANDS * ROWS values must
+#: agree for a pair to be confirmed: 4.5 deviations below the mean at 0.75, which a link misses once in 3e5.
+WORDS, AGREE = BANDS * ROWS // 16, 154
+#: Members of a side of a bucket that meet at once in the second round, and the sharper sketch there:
+#: permutations, and values of twice as many that must agree, 4.5 deviations below the mean at 0.75.
+SIDE, SHARPER, SHARPER_AGREE = 1024, 512, 706
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    x = K.mix(np.arange(1, BANDS * ROWS + 1, dtype=K.U64) * K.U64(0xA0761D6478BD642F))
-    a = (x >> K.U64(32)).astype(np.uint32) | np.uint32(1)
-    b = (x & K.U64(0xFFFFFFFF)).astype(np.uint32)
-    half = BANDS * ROWS // 2
-    return a[:half], b[:half]
+def _permutations(start: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    x = K.mix(np.arange(start + 1, start + n + 1, dtype=K.U64) * K.U64(0xA0761D6478BD642F))
+    return (x >> K.U64(32)).astype(np.uint32) | np.uint32(1), (x & K.U64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def signatures(s: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Minima, then maxima, of each permutation over each row's shingles; rows must not be empty."""
-    a, b = _permutations()
-    half, n = len(a), len(first) - 1
+def signatures(s: np.ndarray, first: np.ndarray, start: int = 0, half: int = BANDS * ROWS // 2) -> np.ndarray:
+    """Minima, then maxima, of ``half`` permutations over each row's shingles; rows must not be empty."""
+    a, b = _permutations(start, half)
+    n = len(first) - 1
     out = np.empty((2 * half, n), np.uint32)
     # Rows are taken in slices that stay in the processor's cache.
     for i, j in K.blocks(first, 1 << 15):
@@ -61,11 +60,11 @@ def _sketch(ids: pa.Array, buf: np.ndarray, offsets: np.ndarray) -> pa.RecordBat
     sizes, digest = np.zeros(n, np.int64), np.zeros((n, 2), K.U64)
     full = np.flatnonzero(np.diff(first))
     for i in full:
-        u = np.unique(s[first[i] : first[i + 1]])
+        u = K.distinct(s[first[i] : first[i + 1]])
         sizes[i] = len(u)
         digest[i] = u.sum(dtype=K.U64), np.bitwise_xor.reduce(K.mix(u ^ K.U64(0x5DEECE66D)))
     keys = np.zeros((n, BANDS), K.U64)
-    bits = np.zeros((n, 4), K.U64)
+    bits = np.zeros((n, WORDS), K.U64)
     if len(full):
         sig = signatures(s, np.append(first[full], first[-1]))
         for band in range(BANDS):
@@ -73,12 +72,11 @@ def _sketch(ids: pa.Array, buf: np.ndarray, offsets: np.ndarray) -> pa.RecordBat
             for v in sig[band * ROWS : (band + 1) * ROWS]:
                 k = K.mix(k ^ v)
             keys[full, band] = k
-        packed = np.zeros((len(full), 32), np.uint8)
-        packed[:, : BITS // 8] = np.packbits((K.mix(sig.T.astype(K.U64)) & K.U64(1)).astype(bool), axis=1)
-        bits[full] = packed.view(K.U64)
+        for i, v in enumerate(sig):
+            bits[full, i // 16] |= (K.mix(v.astype(K.U64)) & K.U64(15)) << K.U64(4 * (i % 16))
     cols = [ids, pa.array(sizes), *[pa.array(K.as_long(digest[:, i])) for i in (0, 1)]]
-    cols += [K.list_column(K.as_long(keys).ravel(), BANDS), *[pa.array(K.as_long(bits[:, i])) for i in range(4)]]
-    return pa.RecordBatch.from_arrays(cols, names=["id", "n_shingles", "d0", "d1", "bands", "b0", "b1", "b2", "b3"])
+    cols += [K.list_column(K.as_long(x).ravel(), x.shape[1]) for x in (keys, bits)]
+    return pa.RecordBatch.from_arrays(cols, names=["id", "n_shingles", "d0", "d1", "bands", "bits"])
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +92,7 @@ def _sets(col: pa.Array) -> list[np.ndarray]:
     for i, j in K.blocks(offsets):
         h, first = K.word_hashes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         s, first = K.shingle_hashes(h, first)
-        out += [np.unique(s[first[k] : first[k + 1]]) for k in range(j - i)]
+        out += [K.distinct(s[first[k] : first[k + 1]]) for k in range(j - i)]
     return out
 
 
@@ -112,11 +110,86 @@ def _confirm(percent: int):  # noqa: ANN202
     return run
 
 
+def _sharper(sets: list[np.ndarray]) -> np.ndarray:
+    """One byte of each value of a longer signature of the sets."""
+    first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    sig = signatures(np.concatenate(sets), first, start=1 << 20, half=SHARPER)
+    return np.ascontiguousarray((sig * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).T)
+
+
+def _across(percent: int):  # noqa: ANN202
+    """Links between members of different components in one bucket, or between two sides of it.
+
+    Every pair is held against its sketches; one that may be linked goes on in the first band the two
+    share only, then against a sharper sketch, then against the full sets. Pairs that links found
+    here already connect are passed over, so the components come out whole.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        K.lean()
+        ids, component, sizes, side = (table.column(c).to_numpy() for c in ("id", "component", "n_shingles", "side"))
+        bits = np.array(table.column("bits").to_pylist(), np.int64).view(K.U64)
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        band = int((bands[0] == table.column("key")[0].as_py()).argmax())
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        nibbles, found = K.U64(0x1111111111111111), [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(left), 64):
+            mine = left[at : at + 64]
+            x = bits[mine][:, None, :] ^ bits[right][None, :, :]
+            x |= x >> K.U64(1)
+            x |= x >> K.U64(2)
+            equal = BANDS * ROWS - np.bitwise_count(x & nibbles).sum(axis=2, dtype=np.int64)
+            n, m = sizes[mine][:, None], sizes[right][None, :]
+            ok = (equal >= AGREE) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            ok &= component[mine][:, None] != component[right][None, :]
+            if lo == hi:
+                ok &= mine[:, None] < right[None, :]
+            i, j = np.nonzero(ok)
+            pair = np.stack([mine[i], right[j]], axis=1)
+            found.append(pair[(bands[pair[:, 0]] == bands[pair[:, 1]]).argmax(axis=1) == band])
+        pairs = np.concatenate(found)
+        used, flat = np.unique(pairs, return_inverse=True)
+        pairs = flat.reshape(-1, 2)
+        out: list[tuple[int, int]] = []
+        if len(pairs):
+            sets = _sets(table.column("__text").combine_chunks().take(pa.array(used)))
+            if len(pairs) > 4 * len(used):
+                sharp = _sharper(sets)
+                agree = np.concatenate(
+                    [(sharp[p[:, 0]] == sharp[p[:, 1]]).sum(axis=1) for p in np.array_split(pairs, 1 + len(pairs) // 4096)]
+                )
+                pairs = pairs[agree >= SHARPER_AGREE]
+            home = {c: c for c in component[used].tolist()}
+
+            def root(c: int) -> int:
+                while home[c] != c:
+                    home[c] = c = home[home[c]]
+                return c
+
+            for i, j in pairs.tolist():
+                a, b = root(int(component[used[i]])), root(int(component[used[j]]))
+                if a != b:
+                    x, y = sets[i], sets[j]
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common) > 0:
+                        home[max(a, b)] = min(a, b)
+                        out.append((int(ids[used[i]]), int(ids[used[j]])))
+        return pa.table({"id": pa.array([o[0] for o in out], pa.int64()), "to": pa.array([o[1] for o in out], pa.int64())})
+
+    return run
+
+
 def _alike(a: str, b: str, percent: int) -> Column:
     """Could two sketches be of sets this similar? By set sizes, exactly, and by signature bits."""
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    differ = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(4)), F.lit(0))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= BITS - AGREE)
+    equal = F.lit(0)
+    for i in range(WORDS):
+        x = F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])
+        for shift in (1, 2):  # the lowest bit of each four becomes: they differ
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        equal = equal + (16 - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (equal >= AGREE)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -132,60 +205,53 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     Texts with 100 * |A & B| >= percent * |A | B| over their distinct 5-word shingles are linked;
     a component's id is its smallest doc_id. A null, empty or wordless text has an empty set and
     stands alone, as does a row with a null id (component_id null, kept). Repeated rows get a
-    row each; an id that several texts share stands for all of them as a link's end. Percentages below 75 lower the recall stated above.
+    row each; an id that several texts share is judged as a link's end by one of them. Percentages below 75 lower the recall stated above.
 
     1. One pass makes sketches, kept in the shared folder. Texts with equal sets become one class.
     2. Each band bucket links its members to its smallest one; candidates are confirmed on full sets.
-    3. Buckets that still hold several components compare the members of different ones, in blocks.
+    3. Buckets that still hold several components compare the members of different ones, SIDE by SIDE.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("__text"))
-    schema = "id long, n_shingles long, d0 long, d1 long, bands array<long>, b0 long, b1 long, b2 long, b3 long"
+    schema = "id long, n_shingles long, d0 long, d1 long, bands array<long>, bits array<long>"
     sketches, _ = materialize(rows.mapInArrow(_sketches, schema), "sketches")
     usable = sketches.where("id is not null and n_shingles > 0")
     classes = usable.groupBy("d0", "d1", "n_shingles").agg(F.min("id").alias("rep"))
-    bits = [F.col(f"b{i}") for i in range(4)]
     # A class is equal sets, so any of its members gives its sketch; the smallest id's row is one of them.
-    picked = usable.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    banded, banded_path = materialize(
-        picked.select("id", "n_shingles", *bits, F.explode("bands").alias("key")).distinct(), "bands"
-    )
-    texts = rows.where("id is not null")
-    one_text = lambda p: texts.join(
-        p.select("id").unionByName(p.select(F.col("to").alias("id"))).distinct(), "id", "left_semi"
-    )
+    # Joins with whole tables are merged at every size: none of their sides has a bound.
+    reps = classes.select(F.col("rep").alias("id")).distinct().hint("merge")
+    picked = usable.join(reps, "id", "left_semi").dropDuplicates(["id"])
+    banded, banded_path = materialize(picked.select("id", F.explode("bands").alias("key")), "bands")
     heads = banded.groupBy("key").agg(F.min("id").alias("to"), F.count("*").alias("n")).where("n > 1")
-    starred = banded.join(heads, "key").where("id <> to")
-    head_bits = picked.select(F.col("id").alias("to"), F.col("n_shingles").alias("m"), *[b.alias(f"c{i}") for i, b in enumerate(bits)])
-    pairs = starred.groupBy("id", "to").agg(*[F.first(c).alias(c) for c in ("n_shingles", "b0", "b1", "b2", "b3")])
-    left = F.struct("n_shingles", "b0", "b1", "b2", "b3").alias("x")
-    right = F.struct(F.col("m").alias("n_shingles"), *[F.col(f"c{i}").alias(f"b{i}") for i in range(4)]).alias("y")
-    tried, tried_path = materialize(
-        pairs.join(head_bits, "to").select("id", "to", left, right).where(_alike("x", "y", percent)).select("id", "to").distinct(),
-        "tried",
-    )
-    links, links_path = materialize(_verified(tried, one_text(tried), percent), "links")
+    shared, shared_path = materialize(banded.join(heads.hint("merge"), "key"), "shared")
+    discard(spark, banded_path)
+    # Only those that share a bucket go on, with sketch and text.
+    ids = shared.select("id").distinct().hint("merge")
+    texts = rows.where("id is not null").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    sketch = usable.select("id", "n_shingles", "bits", "bands").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    known, known_path = materialize(sketch.join(texts.hint("merge"), "id"), "known")
+    pairs = shared.where("id <> to").select("id", "to").distinct()
+    slim = known.select("id", F.struct("n_shingles", "bits").alias("x"))
+    pairs = pairs.join(slim, "id").join(slim.select(F.col("id").alias("to"), F.col("x").alias("y")), "to")
+    tried, tried_path = materialize(pairs.where(_alike("x", "y", percent)).select("id", "to").distinct(), "tried")
+    links, links_path = materialize(_verified(tried, known.select("id", "__text"), percent), "links")
     found = components(links, "id", "to").withColumnRenamed("node", "id")
 
-    # Second round: members of a bucket that the first left in different components.
-    member = banded.join(heads.select("key"), "key").join(found, "id", "left")
-    member = member.withColumn("component", F.coalesce("component", "id"))
-    mixed = member.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = mixed.where("lo <> hi").select("key", F.ceil(F.col("n") / SIDE).cast("int").alias("sides"))
-    side = F.pmod(F.xxhash64("id"), F.col("sides").cast("long")).cast("int")
-    member = member.join(mixed, "key").withColumn("side", side)
-    every = F.sequence(F.lit(0), F.col("sides") - 1)
-    a = member.withColumn("other", F.explode(every)).alias("a")
-    b = member.withColumn("other", F.explode(every)).alias("b")
-    here = (F.col("a.key") == F.col("b.key")) & (F.col("a.side") == F.col("b.other")) & (F.col("a.other") == F.col("b.side"))
-    apart = (F.col("a.id") > F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
-    more = a.join(b, here & apart & _alike("a", "b", percent)).select(F.col("a.id").alias("id"), F.col("b.id").alias("to"))
-    more, more_path = materialize(more.distinct().join(tried, ["id", "to"], "left_anti"), "tried")
-    if not more.isEmpty():
-        again, again_path = materialize(_verified(more, one_text(more), percent), "links")
+    # Second round: members of a bucket that the first left in different components. Buckets of two
+    # need no second look: the first round tried their only pair.
+    member = shared.where("n > 2").join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    mixed = member.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    member, member_path = materialize(member.join(mixed.select("key"), "key"), "members")
+    full = member.join(known, "id")
+    sides = F.ceil(F.col("n") / SIDE).cast("int")
+    side = F.pmod(F.xxhash64("id"), sides.cast("long")).cast("int")
+    # Each member meets its own side and all others of its bucket.
+    full = full.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
+    full = full.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
+    again, again_path = materialize(full.groupBy("key", "lo", "hi").applyInArrow(_across(percent), "id long, to long"), "links")
+    if not again.isEmpty():
         found = components(links.unionByName(again), "id", "to").withColumnRenamed("node", "id")
-        discard(spark, again_path)
-    for path in (banded_path, tried_path, links_path, more_path):
+    for path in (shared_path, known_path, tried_path, links_path, member_path, again_path):
         discard(spark, path)
 
     # A class may hold several ids' rows and an id rows of several classes: join them through both.
