@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -172,21 +173,25 @@ def matches(
 
     ``score`` is the highest BM25 score of its verified passages, ``question`` and ``answer`` the
     highest shares of the item's word triples. Words are lower-cased and without ASCII punctuation.
-    Null texts and items, and those without words, match nothing; repeated rows match each on its
+    Null texts, items with a null id or text, and those without words match nothing; repeated rows match each on its
     own, repeated items each under its id. No shuffle: every index holds at most ``settings.items``
     items, and a text is read once for each index.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.where("text is not null").select("item_id", "text")
-    lots = max(1, -(-items.count() // settings.items))
-    spark, out = docs.sparkSession, None
+    parts = [rows.mapInArrow(_searched(sent, settings), f"doc_id long, {_OUT}") for sent in _indexes(docs, benchmark, settings)]
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select("doc_id", "item_id", "passages", "score", "question", "answer")
+
+
+def _indexes(docs: DataFrame, benchmark: DataFrame, settings: Settings) -> list:
+    """Broadcast indexes of all items, each of at most ``settings.items`` or so."""
+    items = benchmark.where("text is not null and item_id is not null").select("item_id", "text")
+    lots, out = max(1, -(-items.count() // settings.items)), []
     for lot in range(lots):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(lots)) == lot) if lots > 1 else items
-        got = some.toArrow().to_pylist()
-        sent = spark.sparkContext.broadcast(build(sorted((r["item_id"], r["text"]) for r in got if r["item_id"] is not None), settings))
-        found = rows.mapInArrow(_searched(sent, settings), f"doc_id long, {_OUT}")
-        out = found if out is None else out.unionByName(found)
-    return out.select("doc_id", "item_id", "passages", "score", "question", "answer")
+        got = sorted((r["item_id"], r["text"]) for r in some.toArrow().to_pylist())
+        out.append(docs.sparkSession.sparkContext.broadcast(build(got, settings)))
+    return out
 
 
 def _searched(sent, s: Settings):  # noqa: ANN001, ANN202
@@ -210,7 +215,22 @@ def _searched(sent, s: Settings):  # noqa: ANN001, ANN202
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose text holds an item; rows with a null id stay."""
-    hits = matches(docs.where(F.col(id_col).isNotNull()), benchmark, settings, id_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(hits, id_col, "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds an item, whatever their other columns are. No shuffle."""
+    names, at = docs.columns, docs.columns.index(text_col)
+    for sent in _indexes(docs, benchmark, settings):
+        docs = docs.mapInArrow(_kept(sent, settings, names, at), docs.schema)
+    return docs
+
+
+def _kept(sent, s: Settings, names: list[str], at: int):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = K.text_buffer(batch.column(at))
+            keep = np.ones(len(batch), bool)
+            for i, j in K.blocks(offsets):
+                h, first = K.word_hashes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], plain=True)
+                keep[[i + k for k, _ in search(sent.value, h, first, s)]] = False
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array(keep))
+
+    return run
