@@ -76,7 +76,7 @@ TABLE = """
 
 #: Elements whose content is never text of the page, and those whose text is boilerplate.
 UNSEEN = frozenset("script style title noscript template iframe object svg math canvas select textarea option datalist audio video head".split())
-BOILER = frozenset("nav header footer aside form menu dialog button fieldset figcaption".split())
+BOILER = frozenset("nav header footer aside form menu dialog button fieldset".split())
 #: Elements that don't end a block; all others do.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
@@ -84,9 +84,10 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role that mark boilerplate, or the article.
 BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
-    "disqus footer header masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted reader recommended related "
-    "share sharing sidebar skip social sponsor sponsored subscribe teaser toolbar widget".split()
+    "ad adbox ads adsense adslot adunit advert adverts advertisement advertising alert alerts announcement banner breadcrumb breadcrumbs colophon "
+    "comment comments complementary consent contentinfo cookie cookies copyright disclaimer disqus foot footer gdpr header login masthead menu modal "
+    "nav navbar navigation newsletter notice notices notification pager pagination popup privacy promo promoted rail reader recommended related replies "
+    "reply respond search secondary share sharing side sidebar signup skip social sponsor sponsored subscribe teaser toolbar topbar widget".split()
 )
 ARTICLE_WORDS = frozenset("article articlebody entry story post main".split())
 
