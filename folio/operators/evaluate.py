@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,12 +87,15 @@ def slowest(timings: DataFrame, key: str, k: int = 4) -> DataFrame:
 def moving_average(durations: DataFrame, key: str, value: str, order: list[str], seed: float = 0.6, keep: float = 0.7, least: float = 0.05) -> DataFrame:
     """Exponential mean of each key's durations in order, from a seed, each at least ``least``.
 
-    A fold over the key's ordered values; meant for keys with a bounded history. The stream keeps the
-    running value instead (streaming.queue).
+    A value's weight shrinks by ``keep`` with each later one, so those beyond the last ``horizon``
+    are below a double's precision: only these are folded, and each task sends no more of a key on.
     """
-    items = F.array_sort(F.collect_list(F.struct(*order, value)))
+    horizon = math.ceil(math.log(1e-18) / math.log(keep))
+    last = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order]))
+    recent = durations.withColumn("__last", last).where(F.col("__last") <= horizon)
+    items = F.array_sort(F.collect_list(F.struct((-F.col("__last")).alias("at"), value)))
     fold = F.aggregate(items, F.lit(seed), lambda a, x: a * keep + F.greatest(x[value], F.lit(least)) * (1 - keep))
-    return durations.groupBy(key).agg(F.bround(fold, 9).alias("ema"))
+    return recent.groupBy(key).agg(F.bround(fold, 9).alias("ema"))
 
 
 def matched(found: DataFrame, truth: DataFrame, keys: list[str], least: float = 0.8) -> DataFrame:

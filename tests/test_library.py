@@ -282,3 +282,31 @@ def test_geometry(spark):
     line = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(x)).alias("y")) for x in range(3)])
     row = spark.range(1).select(geometry.polygon_area(line).alias("a"), geometry.polygon_centroid(line).alias("c"), geometry.hausdorff(line, F.slice(line, 1, 0)).alias("h")).first()
     assert row.a == 0 and row.c.x == 1 and math.isinf(row.h)
+
+
+def test_moving_average_of_a_long_history(spark):
+    rows = [(1, i, float(i % 7)) for i in range(500)]
+    want = 0.6
+    for _, _, v in rows:
+        want = want * 0.7 + max(v, 0.05) * 0.3
+    got = evaluate.moving_average(spark.createDataFrame(rows, "k long, at long, v double"), "k", "v", ["at"]).first().ema
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_reading_order_of_pages(spark):
+    rng = np.random.default_rng(4)
+    rows = [(p, i, *xy, xy[0] + 10, xy[1] + 12, 0.5, "a") for p in range(5) for i, xy in enumerate(rng.integers(0, 60, (9, 2)).tolist())]
+    got = {(r.doc_id, r.det_idx): r.rank for r in detect.reading_order(boxes(spark, rows)).collect()}
+    for p in range(5):
+        mine = [r for r in rows if r[0] == p]
+        lines = []
+        for r in sorted(mine, key=lambda r: (r[3] + r[5]) / 2):
+            y = (r[3] + r[5]) / 2
+            for line in lines:
+                if abs(y - sum((q[3] + q[5]) / 2 for q in line) / len(line)) < 6:
+                    line.append(r)
+                    break
+            else:
+                lines.append([r])
+        order = [r[1] for line in lines for r in sorted(line, key=lambda r: r[2])]
+        assert [got[p, i] for i in order] == list(range(1, 10))
