@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -269,8 +270,8 @@ def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _block_codes(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A block's distinct codes."""
-    some = [np.unique(codes_of(buf, offsets[i : j + 1])[0]) for i, j in K.blocks(offsets)]
-    return np.unique(np.concatenate(some)) if some else np.zeros(0, K.U64)
+    some = [K.distinct(codes_of(buf, offsets[i : j + 1])[0]) for i, j in K.blocks(offsets)]
+    return K.distinct(np.concatenate(some)) if some else np.zeros(0, K.U64)
 
 
 def _block_words(buf: np.ndarray, offsets: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -387,15 +388,16 @@ def _scores(ends: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         lengths[np.argsort(part_of(codes), kind="stable")] = np.concatenate(told or [np.zeros(0, np.float32)])
         tokens, known, logs, bits = (np.zeros(n, t) for t in (np.int64, np.int64, float, float))
         log_end = math.log10(ends + 0.5)
+        of_word, of_code = pd.Index(words).get_indexer, pd.Index(codes).get_indexer
         for i, j in K.blocks(offsets):
             h, first = K.word_hashes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             row = np.repeat(np.arange(j - i), np.diff(first))
-            c = counts[np.searchsorted(words, h)] if len(h) else np.zeros(0, np.int64)
+            c = counts[of_word(h)] if len(h) else np.zeros(0, np.int64)
             tokens[i:j] = np.diff(first) + 1
             known[i:j] = np.bincount(row, c > 0, minlength=j - i) + (ends > 0)
             logs[i:j] = np.bincount(row, np.log10(c + 0.5), minlength=j - i) + log_end
             mine, at = codes_of(buf, offsets[i : j + 1])
-            bits[i:j] = np.add.reduceat(lengths[np.searchsorted(codes, mine)].astype(np.float64), at)
+            bits[i:j] = np.add.reduceat(lengths[of_code(mine)].astype(np.float64), at)
         zero = np.zeros(n, np.int64)
         names = [x.split()[0] for x in _OUT.split(", ")]
         cols = [table.column("id"), table.column("use"), *map(pa.array, (tokens, known, logs, bits, np.diff(offsets), zero, zero))]
