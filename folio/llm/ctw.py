@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import kernel as K
-from folio.llm.store import materialize
+from folio.llm.store import discard, materialize
 
 DEPTH = 5
 #: Depth above which nodes are shared by all parts.
@@ -251,16 +251,16 @@ def _planted(table: pa.Table) -> pa.Table:
     return pa.table(cols)
 
 
-def fit(docs: DataFrame, use: Column, text_col: str = "text") -> tuple[DataFrame, Crown]:
-    """Counts (part, codes, n) of all rows for which ``use`` holds, in the shared folder, and the crown."""
+def fit(docs: DataFrame, use: Column, text_col: str = "text") -> tuple[DataFrame, str, Crown]:
+    """Counts (part, codes, n) of all rows for which ``use`` holds, their place in the shared folder, and the crown."""
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(use, F.lit(False)).alias("use"))
     gathered = rows.mapInArrow(_gathered, "part long, codes binary, n binary").repartition("part")
     schema = "part long, codes binary, n binary, node binary, zeros binary, ones binary, log_p binary"
-    trees, _ = materialize(gathered.groupBy("part").applyInArrow(_planted, schema), "trees")
+    trees, path = materialize(gathered.groupBy("part").applyInArrow(_planted, schema), "trees")
     got = trees.select("node", "zeros", "ones", "log_p").toArrow().to_pylist()
     node = np.concatenate([np.frombuffer(r["node"], K.U64) for r in got] or [np.zeros(0, K.U64)])
     rest = [np.concatenate([np.frombuffer(r[c], "<f8") for r in got] or [np.zeros(0)]) for c in ("zeros", "ones", "log_p")]
-    return trees.select("part", "codes", "n"), crown(node, *rest)
+    return trees.select("part", "codes", "n"), path, crown(node, *rest)
 
 
 def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -420,8 +420,9 @@ def score(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
     Documents are dealt into blocks of about BLOCK_ROWS by a hash of their id, or of their text
     where that is null; the exchange that deals them is planned once and read twice.
     """
-    trees, top = fit(docs, use, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(top)
+    spark = docs.sparkSession
+    trees, trees_path, top = fit(docs, use, text_col)
+    sent = spark.sparkContext.broadcast(top)
     rows, ends = docs.agg(F.count("*"), F.coalesce(F.sum(F.when(use, 1)), F.lit(0))).first()
     blocks = max(1, -(-rows // BLOCK_ROWS))
     bits = max(0, (blocks // 2).bit_length() - 1)
@@ -432,7 +433,7 @@ def score(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
     )
     key = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
     keyed = keyed.withColumn("__block", F.pmod(key, F.lit(blocks))).repartition("__block")
-    asked, _ = materialize(keyed.groupBy("__block").applyInArrow(_requests(bits), _ASKED), "asked")
+    asked, asked_path = materialize(keyed.groupBy("__block").applyInArrow(_requests(bits), _ASKED), "asked")
     counted = asked.where("kind = 0").groupBy("part").applyInArrow(_counted, _TOLD)
     lots = -(-blocks // GROUP_BLOCKS)
     spread = trees.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)).cast("array<bigint>")))
@@ -440,6 +441,8 @@ def score(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
     answers = counted.unionByName(measured)
     scored = keyed.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(_scores(ends), _OUT)
     scored, _ = materialize(scored, "scores")
+    discard(spark, asked_path)
+    discard(spark, trees_path)
     tokens, distinct = scored.where("n_tokens < 0").agg(F.sum("tokens"), F.sum("distinct")).first()
     tokens, distinct = (tokens or 0) + ends, (distinct or 0) + (ends > 0)
     base = F.col("log_counts") - F.col("n_tokens") * F.lit(math.log10(tokens + 0.5 * (distinct + 1)))
