@@ -26,6 +26,8 @@ from folio.llm import kernel as K
 
 #: Documents of a block, and k-grams sampled for the splitters: at most this many, of this many documents or so.
 BLOCK_ROWS, SAMPLE, SAMPLE_DOCS = 1000, 400_000, 4000
+#: Suffixes of one k-gram that may meet in one task; of more, windows are compared by digest, wherever they fall.
+HOT = 100_000
 _RUN = "range int, doc long, ord int, lcp binary, tail_n binary, tail binary, left_n binary, left binary, docs binary, ords binary, at binary"
 _RUN_NAMES = [x.split()[0] for x in _RUN.split(", ")]
 
@@ -93,7 +95,7 @@ def _block_anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> Iterato
 
 
 def _requests(length: int, bits: int, text_col: str) -> Callable[[pa.Table], pa.Table]:
-    """A block's distinct k-gram hashes, by hash range; ``many`` says which it holds twice."""
+    """A block's distinct k-gram hashes, by hash range; ``many`` says how often it holds each, up to 255."""
 
     def run(table: pa.Table) -> pa.Table:
         _, buf, offsets = _rows(table, text_col)
@@ -102,7 +104,7 @@ def _requests(length: int, bits: int, text_col: str) -> Callable[[pa.Table], pa.
         part = (u >> K.U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(u), np.int64)
         first = np.flatnonzero(np.diff(part, prepend=-1))
         cuts = [*first.tolist(), len(u)]
-        many = (n > 1).astype(np.uint8)
+        many = np.minimum(n, 255).astype(np.uint8)
         spans = list(zip(cuts[:-1], cuts[1:], strict=True))
         block = table.column("__block")[0].as_py()
         return pa.table(
@@ -117,24 +119,26 @@ def _requests(length: int, bits: int, text_col: str) -> Callable[[pa.Table], pa.
     return run
 
 
-def _answers(table: pa.Table) -> pa.Table:
-    """Of each request, the hashes that occur twice or more anywhere."""
-    K.lean()
-    blocks = table.column("__block").to_pylist()
-    asked = [np.frombuffer(x, K.U64) for x in table.column("hashes").to_pylist()]
-    many = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("many").to_pylist()]).astype(bool)
-    flat = np.concatenate(asked)
-    u, index, n = np.unique(flat, return_inverse=True, return_counts=True)
-    twice = n > 1
-    twice[index[many]] = True
-    keep = twice[index]
-    out, at = [], 0
-    for b, x in zip(blocks, asked, strict=True):
-        got = x[keep[at : at + len(x)]]
-        at += len(x)
-        if len(got):
-            out.append((b, got.tobytes()))
-    return pa.table({"__block": pa.array([b for b, _ in out], pa.int64()), "hashes": K.binary_column([h for _, h in out])})
+def _answers(most: int) -> Callable[[pa.Table], pa.Table]:
+    """Of each request, the hashes that occur twice or more anywhere, and which occur more than ``most`` times."""
+
+    def run(table: pa.Table) -> pa.Table:
+        K.lean()
+        blocks = table.column("__block").to_pylist()
+        asked = [np.frombuffer(x, K.U64) for x in table.column("hashes").to_pylist()]
+        many = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("many").to_pylist()])
+        _, index = np.unique(np.concatenate(asked), return_inverse=True)
+        total = np.bincount(index, many)[index]
+        out, at = [], 0
+        for b, x in zip(blocks, asked, strict=True):
+            n = total[at : at + len(x)]
+            at += len(x)
+            if (n > 1).any():
+                out.append((b, x[n > 1].tobytes(), (n[n > 1] > most).tobytes()))
+        cols = {"__block": pa.array([r[0] for r in out], pa.int64())}
+        return pa.table(cols | {c: K.binary_column([r[i] for r in out]) for i, c in enumerate(("hashes", "hot"), 1)})
+
+    return run
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -236,14 +240,24 @@ def _runs(length: int, splitters: list[bytes], text_col: str) -> Callable[[pa.Ta
             table = _ordered(table, text_col)
             keys, buf, offsets = _rows(table, text_col)
             ords = _ordinals(keys)
-            twice = np.sort(np.concatenate([np.frombuffer(x, K.U64) for x in answers.column("hashes").to_pylist()]))
+            twice = np.concatenate([np.frombuffer(x, K.U64) for x in answers.column("hashes").to_pylist()])
+            hot = np.concatenate([np.frombuffer(x, bool) for x in answers.column("hot").to_pylist()])
+            by_hash = np.argsort(twice)
+            twice, hot = twice[by_hash], hot[by_hash]
+            windows: dict[bytes, tuple[int, int, int]] = {}
             raw = buf.tobytes()
             seen: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
             spans = Spans()
             for _, _, at, h in _block_anchors(buf, offsets, length):
                 i = np.searchsorted(twice, h)
                 i[i == len(twice)] = 0
-                at = at[twice[i] == h]
+                known = twice[i] == h
+                for r, p in _window_starts(at[known & hot[i]], offsets, length, left):
+                    digest = hashlib.blake2b(raw[p : p + length], digest_size=16).digest()
+                    mine = (keys[r], ords[r], p - int(offsets[r]))
+                    if windows.setdefault(digest, mine) is not mine:
+                        spans.add(mine[:2], mine[2], mine[2] + length)
+                at = at[known & ~hot[i]]
                 row = np.searchsorted(offsets, at, "right") - 1
                 los, his = offsets[row].tolist(), offsets[row + 1].tolist()
                 for a, r, lo, hi in zip(at.tolist(), row.tolist(), los, his, strict=True):
@@ -264,6 +278,16 @@ def _runs(length: int, splitters: list[bytes], text_col: str) -> Callable[[pa.Ta
                 for c, v in zip(_RUN_NAMES, row_, strict=True):
                     out[c].append(v)
                 i = j
+            # Windows of hot k-grams meet by their digests.
+            buckets: dict[int, list[bytes]] = {}
+            for digest in windows:
+                buckets.setdefault(int.from_bytes(digest[:4], "little") % (len(splitters) + 1), []).append(digest)
+            for n, digests in buckets.items():
+                whose = [windows[d] for d in digests]
+                row_ = [n, None, None, None, None, b"".join(digests), None, None]
+                row_ += [np.array([x[t] for x in whose], d).tobytes() for t, d in ((0, "<i8"), (1, "<i4"), (2, "<i4"))]
+                for c, v in zip(_RUN_NAMES, row_, strict=True):
+                    out[c].append(v)
             # Spans found here pass through some range's merge as they are.
             for n, ((doc, ord_), found) in enumerate(spans.merged()):
                 row_ = [n % (len(splitters) + 1), doc, ord_, None, None, None, None, None, None, None]
@@ -275,6 +299,18 @@ def _runs(length: int, splitters: list[bytes], text_col: str) -> Callable[[pa.Ta
     return run
 
 
+def _window_starts(at: np.ndarray, offsets: np.ndarray, length: int, left: int) -> Iterator[tuple[int, int]]:
+    """(row, start) of every window that one of these anchors may stand for, in order."""
+    if not len(at):
+        return
+    row = np.searchsorted(offsets, at, "right") - 1
+    lo, hi = np.maximum(at - left, offsets[row]), np.minimum(at, offsets[row + 1] - length)
+    n = np.maximum(hi - lo + 1, 0)
+    starts = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    starts = np.unique(starts)
+    yield from zip((np.searchsorted(offsets, starts, "right") - 1).tolist(), starts.tolist(), strict=True)
+
+
 class Spans:
     """Byte spans by document, united when they are read."""
 
@@ -303,19 +339,28 @@ def unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _resolve(group: list[tuple[bytes, bytes, tuple[int, int, int]]], length: int, k: int, spans: Spans) -> None:
-    """Spans of a group of suffixes with one k-gram: what of each also starts earlier."""
-    first: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
-    for right, left, whose in group:
-        c = (left, right)
-        had = first.get(c)
-        if had is None:
-            first[c] = whose
-            continue
-        late = max(had, whose)
-        first[c] = min(had, whose)
-        if len(left) + len(right) >= length:
-            spans.add(late[:2], late[2] - len(left), late[2] + len(right))
+class Group:
+    """Suffixes of one k-gram: of equal contexts only the first is kept, whatever their number."""
+
+    def __init__(self, length: int, k: int, spans: Spans) -> None:
+        self.length, self.k, self.spans = length, k, spans
+        self.first: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
+
+    def add(self, right: bytes, left: bytes, whose: tuple[int, int, int]) -> None:
+        had = self.first.setdefault((left, right), whose)
+        if had is not whose:
+            late = max(had, whose)
+            self.first[left, right] = min(had, whose)
+            if len(left) + len(right) >= self.length:
+                self.spans.add(late[:2], late[2] - len(left), late[2] + len(right))
+
+    def close(self) -> None:
+        _resolve(self.first, self.length, self.k, self.spans)
+        self.first = {}
+
+
+def _resolve(first: dict[tuple[bytes, bytes], tuple[int, int, int]], length: int, k: int, spans: Spans) -> None:
+    """Spans of distinct contexts around one k-gram: what of each also starts earlier."""
     if len(first) < 2:
         return
     order = sorted((whose, left, right) for (left, right), whose in first.items())
@@ -354,23 +399,29 @@ def _merge(length: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         K.lean()
-        spans, runs = Spans(), []
+        spans, runs, hot = Spans(), [], []
         for batch in table.to_batches(max_chunksize=256):
             for row in batch.to_pylist():
-                if row["lcp"] is None:
+                if row["lcp"] is not None:
+                    runs.append(stream(row))
+                elif row["doc"] is not None:
                     for a, b in np.frombuffer(row["at"], "<i4").reshape(-1, 2).tolist():
                         spans.add((row["doc"], row["ord"]), a, b)
                 else:
-                    runs.append(stream(row))
-        group: list[tuple[bytes, bytes, tuple[int, int, int]]] = []
+                    hot.append(row)
+        group = Group(length, k, spans)
         for s, h, (left, whose) in merge_runs(runs) if runs else ():
-            if h < k and group:
-                if len(group) > 1:
-                    _resolve(group, length, k, spans)
-                group = []
-            group.append((s, left, whose))
-        if len(group) > 1:
-            _resolve(group, length, k, spans)
+            if h < k:
+                group.close()
+            group.add(s, left, whose)
+        group.close()
+        if hot:
+            digest = np.concatenate([np.frombuffer(r["tail"], K.U64).reshape(-1, 2) for r in hot])
+            doc, ord_, at = (np.concatenate([np.frombuffer(r[c], d) for r in hot]) for c, d in (("docs", "<i8"), ("ords", "<i4"), ("at", "<i4")))
+            order = np.lexsort((at, ord_, doc, digest[:, 1], digest[:, 0]))
+            again = order[1:][(digest[order[1:]] == digest[order[:-1]]).all(axis=1)]
+            for d, o, p in zip(doc[again].tolist(), ord_[again].tolist(), at[again].tolist(), strict=True):
+                spans.add((d, o), p, p + length)
         flat = [(d, o, np.array(f, "<i4").tobytes()) for (d, o), f in spans.merged()]
         kinds = (("__key", pa.int64()), ("ord", pa.int32()), ("spans", pa.binary()))
         return pa.table({c: pa.array([x[i] for x in flat], t) for i, (c, t) in enumerate(kinds)})
@@ -457,7 +508,7 @@ def remove_repeats(
     asked = keyed.groupBy("__block").applyInArrow(
         _requests(length, bits, text_col), "part long, __block long, hashes binary, many binary"
     )
-    answers = asked.groupBy("part").applyInArrow(_answers, "__block long, hashes binary")
+    answers = asked.groupBy("part").applyInArrow(_answers(HOT), "__block long, hashes binary, hot binary")
     runs = keyed.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(_runs(length, cuts, text_col), _RUN)
     spans = runs.groupBy("range").applyInArrow(_merge(length), "__key long, ord int, spans binary")
     spans = spans.withColumn("__block", of_block(F.col("__key")))

@@ -228,9 +228,10 @@ def removed(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("block", [1000, 7])
-def test_repeats(spark, docs, block, monkeypatch):
+@pytest.mark.parametrize(("block", "hot"), [(1000, 100_000), (7, 100_000), (7, 12), (30, 2)])
+def test_repeats(spark, docs, block, hot, monkeypatch):
     monkeypatch.setattr(suffix, "BLOCK_ROWS", block)
+    monkeypatch.setattr(suffix, "HOT", hot)
     rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").limit(80).collect())
     line = "a line that many documents share, and which is longer than a hundred bytes, so that it goes from all but one of them. "
     rows += [(20_000 + i, f"{i} starts so; {line}{'z' * (i * 9)} ends so {i}") for i in range(30)] + [(30_000, "ab" * 300), (30_001, "é" * 120)]
