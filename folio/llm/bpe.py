@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Distinct pre-tokens whose ids a worker keeps; it forgets all of them when it has this many.
-MEMORY = 400_000
+MEMORY = 200_000
 
 
 @lru_cache(maxsize=1)
@@ -166,6 +166,7 @@ def encode(
             cols.append(pa.array([hashlib.sha256(x).hexdigest() for x in coded]))
             cols.append(pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in coded]))
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        c.memory.clear()  # the worker is reused
 
     return base.mapInArrow(run, out)
 

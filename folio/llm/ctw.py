@@ -256,7 +256,7 @@ def fit(docs: DataFrame, use: Column, text_col: str = "text") -> tuple[DataFrame
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(use, F.lit(False)).alias("use"))
     gathered = rows.mapInArrow(_gathered, "part long, codes binary, n binary").repartition("part")
     schema = "part long, codes binary, n binary, node binary, zeros binary, ones binary, log_p binary"
-    trees, path = materialize(gathered.groupBy("part").applyInArrow(_planted, schema), "trees")
+    trees, path = materialize(gathered.groupBy("part").applyInArrow(K.trimmed(_planted), schema), "trees")
     got = trees.select("node", "zeros", "ones", "log_p").toArrow().to_pylist()
     node = np.concatenate([np.frombuffer(r["node"], K.U64) for r in got] or [np.zeros(0, K.U64)])
     rest = [np.concatenate([np.frombuffer(r[c], "<f8") for r in got] or [np.zeros(0)]) for c in ("zeros", "ones", "log_p")]
@@ -433,13 +433,13 @@ def score(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
     )
     key = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
     keyed = keyed.withColumn("__block", F.pmod(key, F.lit(blocks))).repartition("__block")
-    asked, asked_path = materialize(keyed.groupBy("__block").applyInArrow(_requests(bits), _ASKED), "asked")
-    counted = asked.where("kind = 0").groupBy("part").applyInArrow(_counted, _TOLD)
+    asked, asked_path = materialize(keyed.groupBy("__block").applyInArrow(K.trimmed(_requests(bits)), _ASKED), "asked")
+    counted = asked.where("kind = 0").groupBy("part").applyInArrow(K.trimmed(_counted), _TOLD)
     lots = -(-blocks // GROUP_BLOCKS)
     spread = trees.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)).cast("array<bigint>")))
-    measured = asked.where("kind = 1").groupBy("part", "lot").cogroup(spread.groupBy("part", "lot")).applyInArrow(_measured(sent), _TOLD)
+    measured = asked.where("kind = 1").groupBy("part", "lot").cogroup(spread.groupBy("part", "lot")).applyInArrow(K.trimmed(_measured(sent)), _TOLD)
     answers = counted.unionByName(measured)
-    scored = keyed.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(_scores(ends), _OUT)
+    scored = keyed.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(K.trimmed(_scores(ends)), _OUT)
     scored, _ = materialize(scored, "scores")
     discard(spark, asked_path)
     discard(spark, trees_path)

@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     # Each member meets its own side and all others of its bucket.
     full = full.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
     full = full.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
-    again, again_path = materialize(full.groupBy("key", "lo", "hi").applyInArrow(_across(percent), "id long, to long"), "links")
+    again, again_path = materialize(full.groupBy("key", "lo", "hi").applyInArrow(K.trimmed(_across(percent)), "id long, to long"), "links")
     if not again.isEmpty():
         found = components(links.unionByName(again), "id", "to").withColumnRenamed("node", "id")
     for path in (shared_path, known_path, tried_path, links_path, member_path, again_path):

@@ -506,15 +506,15 @@ def remove_repeats(
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     keyed = docs.withColumn("__key", key).withColumn("__block", of_block(F.col("__key"))).repartition("__block")
     asked = keyed.groupBy("__block").applyInArrow(
-        _requests(length, bits, text_col), "part long, __block long, hashes binary, many binary"
+        K.trimmed(_requests(length, bits, text_col)), "part long, __block long, hashes binary, many binary"
     )
-    answers = asked.groupBy("part").applyInArrow(_answers(HOT), "__block long, hashes binary, hot binary")
-    runs = keyed.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(_runs(length, cuts, text_col), _RUN)
-    spans = runs.groupBy("range").applyInArrow(_merge(length), "__key long, ord int, spans binary")
+    answers = asked.groupBy("part").applyInArrow(K.trimmed(_answers(HOT)), "__block long, hashes binary, hot binary")
+    runs = keyed.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(K.trimmed(_runs(length, cuts, text_col)), _RUN)
+    spans = runs.groupBy("range").applyInArrow(K.trimmed(_merge(length)), "__key long, ord int, spans binary")
     spans = spans.withColumn("__block", of_block(F.col("__key")))
     if not with_text:
         names = [id_col]
     fields = [*docs.select(*names).schema.fields, *[T.StructField(c, T.LongType()) for c in added[:3]], T.StructField(added[3], T.StringType())]
     return keyed.groupBy("__block").cogroup(spans.groupBy("__block")).applyInArrow(
-        _cut(names, text_col, with_text), T.StructType(fields)
+        K.trimmed(_cut(names, text_col, with_text)), T.StructType(fields)
     )
