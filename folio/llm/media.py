@@ -149,7 +149,7 @@ def gray(height: int, width: int, channels: int, data: bytes | None) -> np.ndarr
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(i, 256) for b in batches for i in range(0, len(b), 256)):
         K.lean()
         ids, images = batch.column(0), batch.column(1).to_pylist()
         out: list[tuple] = [(None, None, b"", b"")] * len(images)
@@ -168,7 +168,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if x is not None:
                 some = by_size.setdefault(x.shape, [])
                 some.append((i, x))
-                if len(some) * x.size >= 600_000:
+                if len(some) * x.size >= 200_000:
                     done(some)
         for some in by_size.values():
             if some:
@@ -178,7 +178,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = []
         for _, _, _, raw in out:
             d = np.frombuffer(raw, np.uint32).reshape(-1, WORDS).astype(K.U64)
-            keys.append(K.as_long(K.mix(d | np.arange(1, WORDS + 1, dtype=K.U64) << K.U64(32)).ravel()).tolist())
+            keyed = K.mix(d | np.arange(1, WORDS + 1, dtype=K.U64) << K.U64(32)).ravel()
+            keys.append(K.as_long(K.distinct(keyed)).tolist())  # an image counts once in a bucket
         cols.append(pa.array(keys, pa.list_(pa.int64())))
         yield pa.RecordBatch.from_arrays([ids, *cols], names=["id", "digest", "shape", "where", "bits", "keys"])
 
@@ -209,11 +210,12 @@ def copies(images: DataFrame, id_col: str, image: Column) -> DataFrame:
     usable = described.where("id is not null and digest is not null")
     classes = usable.groupBy("digest", "shape").agg(F.min("id").alias("rep"))
     picked = usable.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    picked = picked.dropDuplicates(["id"])
     # A point meets others in a bucket of each word; an image counts once in a bucket.
-    tables, tables_path = materialize(picked.select("id", F.explode("keys").alias("key")).distinct(), "tables")
+    tables, tables_path = materialize(picked.select("id", F.explode("keys").alias("key")), "tables")
     heads = tables.groupBy("key").agg(F.min("id").alias("to"), F.count("*").alias("n")).where("n > 1")
     pairs = tables.join(heads, "key").where("id <> to").groupBy("id", "to").agg(F.count("*").alias("shared"))
-    ends = picked.select("id", "where", "bits").dropDuplicates(["id"])
+    ends = picked.select("id", "where", "bits")
     pairs = pairs.where(F.col("shared") >= SHARED).join(ends, "id")
     pairs = pairs.join(ends.select(F.col("id").alias("to"), F.col("where").alias("w"), F.col("bits").alias("b")), "to")
     compared = pairs.select("id", "to", "where", "bits", "w", "b").mapInArrow(_compared, "id long, to long, matches long")
