@@ -2,8 +2,8 @@
 
 Harris corners on a pyramid of scales, an orientation from the patch's intensity centroid, and 256
 rotated binary tests make a point. Points meet in Hamming tables, one for each 32-bit word of their
-descriptor; images that share enough points are compared in full, and linked if their matches agree
-on one scale, rotation and shift.
+descriptor; any two images that share enough of these buckets are compared in full, and linked if
+their matches agree on one scale, rotation and shift.
 
 An image is a struct (height, width, channels, data) of unsigned bytes, row by row, as Spark's image
 source gives; several channels are averaged.
@@ -25,6 +25,8 @@ from folio.llm.store import discard, materialize
 
 #: Points of a level for each 96 x 96 pixels; radius that the tests reach; angles told apart.
 POINTS, REACH, ANGLES = 12, 12, 30
+#: Images of a side; every two sides meet in one task.
+GROUP = 8192
 #: Bits in which matching points may differ; points two images must share; matches that must agree, in pixels.
 DIFFER, SHARED, AGREE, NEAR = 40, 2, 6, 4.0
 TESTS, WORDS = 256, 8
@@ -175,13 +177,65 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 done(some)
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
         cols = [pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)]
-        keys = []
-        for _, _, _, raw in out:
-            d = np.frombuffer(raw, np.uint32).reshape(-1, WORDS).astype(K.U64)
-            keyed = K.mix(d | np.arange(1, WORDS + 1, dtype=K.U64) << K.U64(32)).ravel()
-            keys.append(K.as_long(K.distinct(keyed)).tolist())  # an image counts once in a bucket
-        cols.append(pa.array(keys, pa.list_(pa.int64())))
-        yield pa.RecordBatch.from_arrays([ids, *cols], names=["id", "digest", "shape", "where", "bits", "keys"])
+        yield pa.RecordBatch.from_arrays([ids, *cols], names=["id", "digest", "shape", "where", "bits"])
+
+
+def _keys(points_: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each image's points, each once an image; and the image of each."""
+    word = np.arange(1, WORDS + 1, dtype=K.U64)
+    keys = [K.distinct((d | word << K.U64(32)).ravel()) for d in points_]
+    return np.concatenate(keys or [np.zeros(0, K.U64)]), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """Pairs across two sides (or within one) that share SHARED buckets and have AGREE points with a near one.
+
+    Buckets are counted for every pair, whoever else is in them. The second condition is implied by
+    AGREE mutual matches, so it loses no link; only what passes both leaves the task.
+    """
+    K.lean()
+    ids, side = (table.column(c).to_numpy() for c in ("id", "side"))
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    bits = [np.frombuffer(raw, np.uint32).reshape(-1, WORDS) for raw in table.column("bits").to_pylist()]
+    left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+    mine, theirs = [bits[i] for i in left], [bits[i] for i in right]
+    key, at = _keys([d.astype(K.U64) for d in theirs])
+    order = np.argsort(key)
+    key, at = key[order], at[order]
+    asked, asks = _keys([d.astype(K.U64) for d in mine])
+    begin = np.searchsorted(key, asked)
+    many = np.searchsorted(key, asked, "right") - begin
+    rows = np.searchsorted(asks, np.arange(len(mine) + 1))
+    work = np.concatenate([[0], np.cumsum(np.bincount(asks, many, minlength=len(mine)).astype(np.int64))])
+    flat = np.concatenate(theirs).view(K.U64) if theirs else np.zeros((0, WORDS // 2), K.U64)
+    first, second = np.ascontiguousarray(flat[:, 0]), np.ascontiguousarray(flat[:, 1])
+    ends = np.concatenate([[0], np.cumsum([len(d) for d in theirs])]).astype(np.int64)
+    found = [np.zeros((0, 2), np.int64)]
+    for i, j in ((x, min(x + 64, j)) for i, j in K.blocks(work, 1 << 21) for x in range(i, j, 64)):
+        n = many[rows[i] : rows[j]]
+        hit = np.repeat(begin[rows[i] : rows[j]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        cell = np.repeat(asks[rows[i] : rows[j]] - i, n) * len(right) + at[hit]
+        who, whom = np.nonzero(np.bincount(cell, minlength=(j - i) * len(right)).reshape(j - i, -1) >= SHARED)
+        if lo == hi:
+            who, whom = who[whom > who + i], whom[whom > who + i]
+        cuts = np.searchsorted(who, np.arange(j - i + 1))
+        for k in range(j - i):
+            others, a = whom[cuts[k] : cuts[k + 1]], mine[i + k].view(K.U64)
+            sizes = np.concatenate([[0], np.cumsum(ends[others + 1] - ends[others])])
+            for x, y in K.blocks(sizes, 2048):
+                some = sizes[x : y + 1] - sizes[x]
+                owner = np.repeat(np.arange(y - x), np.diff(some))
+                point = np.repeat(ends[others[x:y]] - some[:-1], np.diff(some)) + np.arange(some[-1])
+                # Half of the words rule out nearly all pairs of points.
+                apart = np.bitwise_count(a[:, :1] ^ first[point])
+                apart += np.bitwise_count(a[:, 1:2] ^ second[point])
+                p, q = np.divmod(np.flatnonzero(apart <= DIFFER), len(point))
+                near = np.bitwise_count(a[p] ^ flat[point[q]]).sum(axis=1) <= DIFFER
+                ok = np.unique(p[near] * (y - x) + owner[q[near]]) % (y - x)
+                good = others[x:y][np.bincount(ok, minlength=y - x) >= AGREE]
+                found.append(np.stack([np.full(len(good), left[i + k]), right[good]], axis=1))
+    pairs = ids[np.concatenate(found)]
+    return pa.table({"id": pa.array(pairs.max(axis=1), pa.int64()), "to": pa.array(pairs.min(axis=1), pa.int64())})
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,23 +259,26 @@ def copies(images: DataFrame, id_col: str, image: Column) -> DataFrame:
     without corners is linked to equal ones only. Repeated ids share their class.
     """
     rows = images.select(F.col(id_col).cast("long").alias("id"), image.alias("image"))
-    schema = "id long, digest long, shape long, where binary, bits binary, keys array<long>"
+    schema = "id long, digest long, shape long, where binary, bits binary"
     described, _ = materialize(rows.mapInArrow(_described, schema), "media")
     usable = described.where("id is not null and digest is not null")
     classes = usable.groupBy("digest", "shape").agg(F.min("id").alias("rep"))
     picked = usable.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     picked = picked.dropDuplicates(["id"])
-    # A point meets others in a bucket of each word; an image counts once in a bucket.
-    tables, tables_path = materialize(picked.select("id", F.explode("keys").alias("key")), "tables")
-    heads = tables.groupBy("key").agg(F.min("id").alias("to"), F.count("*").alias("n")).where("n > 1")
-    pairs = tables.join(heads, "key").where("id <> to").groupBy("id", "to").agg(F.count("*").alias("shared"))
+    # Every side meets its own and all others, so a pair's buckets are counted in one task.
+    met = picked.where(F.octet_length("bits") > 0).select("id", "bits")
+    sides = max(1, -(-classes.count() // GROUP))
+    met = met.withColumn("side", F.pmod(F.xxhash64("id"), F.lit(sides)).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
+    met = met.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("other")
+    pairs, pairs_path = materialize(met.groupBy("lo", "hi").applyInArrow(K.trimmed(_met), "id long, to long"), "media-pairs")
     ends = picked.select("id", "where", "bits")
-    pairs = pairs.where(F.col("shared") >= SHARED).join(ends, "id")
+    pairs = pairs.join(ends, "id")
     pairs = pairs.join(ends.select(F.col("id").alias("to"), F.col("where").alias("w"), F.col("bits").alias("b")), "to")
     compared = pairs.select("id", "to", "where", "bits", "w", "b").mapInArrow(_compared, "id long, to long, matches long")
     links, _ = materialize(compared, "media-links")
     found = components(links, "id", "to").select(F.col("node").alias("rep"), "component")
-    discard(images.sparkSession, tables_path)
+    discard(images.sparkSession, pairs_path)
     degree = links.select(F.explode(F.array("id", "to")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     labels = classes.join(found, "rep", "left").join(degree, "rep", "left")
     labels = labels.select("digest", "shape", F.coalesce("component", "rep").alias("component"), "n_links")

@@ -10,6 +10,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +159,31 @@ def test_media_copies(spark):
     assert got[10].n_links == 1 and got[20].n_links == 0 and not got[20].kept
 
 
+def test_media_pairs_of_every_bucket(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = media.draw(rng.normal(size=(2, 64)))
+    noisy = lambda x: np.clip(np.rint(x + rng.normal(0, 3, x.shape)), 0, 255).astype(np.uint8)
+    images = {1: noisy(base[0]), 2: noisy(base[0]), 3: noisy(base[0]), 4: base[1]}
+    for sides in (media.GROUP, 1):  # in one side, and on several
+        monkeypatch.setattr(media, "GROUP", sides)
+        rows = [(i, (x.shape[0], x.shape[1], 1, x.tobytes())) for i, x in images.items()]
+        df = spark.createDataFrame(rows, "i long, image struct<height: int, width: int, channels: int, data: binary>")
+        got = {r.i: r for r in media.copies(df, "i", F.col("image")).collect()}
+        assert {i: (r.class_id, r.n_links) for i, r in got.items()} == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 0)}
+
+
+def test_media_buckets_headed_by_strangers():
+    rng = np.random.default_rng(7)
+    copy = rng.integers(0, 1 << 32, (8, media.WORDS), np.uint32)
+    strangers = [rng.integers(0, 1 << 32, (8, media.WORDS), np.uint32) for _ in range(8 * media.WORDS)]
+    for k, s in enumerate(strangers):  # each has one bucket of the copies, and a smaller id
+        s[0, k % media.WORDS] = copy[k // media.WORDS, k % media.WORDS]
+    bits = [x.tobytes() for x in [*strangers, copy, copy]]
+    n = len(bits)
+    t = pa.table({"id": pa.array(range(n), pa.int64()), "bits": bits, "side": [0] * n, "lo": [0] * n, "hi": [0] * n})
+    assert media._met(t).to_pylist() == [{"id": n - 1, "to": n - 2}]
+
+
 # --- 6 ---------------------------------------------------------------------------------------
 
 
