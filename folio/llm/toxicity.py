@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-A bounded sample of labelled texts gives the vocabulary (terms associated with the label) and the
-examples. Every text is a query: the bound of a block of examples is the sum of its terms' block
+A bounded sample of labelled texts gives the examples and the vocabulary; a term weighs more the more
+it is associated with the label, and none is left out for a weak association. Every text is a query: the bound of a block of examples is the sum of its terms' block
 maxima, blocks are visited from the highest bound, and the visit ends when no block left can reach
 the k-th best, so the neighbours are exactly the nearest. Their votes, weighted by cosine, go
 through a calibration fitted on other labelled texts of the sample.
@@ -21,9 +21,16 @@ from pyspark.sql import types as T
 from folio.llm import kernel as K
 
 
+#: Chi-square that a term without association counts as, and the power of the weight by association.
+LEAST, SHARPNESS = 0.1, 2
+
+
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the fit: labelled texts of each class, of those to calibrate on, and terms kept."""
+    """Bounds of the fit: labelled texts of each class, of those to calibrate on, and terms kept.
+
+    A term whose chi-square is ``least_chi2`` has a quarter of its TF-IDF weight; none is dropped for it.
+    """
 
     examples: int = 2000
     calibration: int = 2000
@@ -105,10 +112,14 @@ def build(ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, h: np.ndarray, n:
     df = np.bincount(term, minlength=len(u)).astype(float)
     b, c, d = df - a, pos - a, rows - pos - (df - a)
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = np.nan_to_num(rows * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)))
-    keep = np.flatnonzero((chi2 >= s.least_chi2) & (df >= 3))
-    keep = np.sort(keep[np.lexsort((u[keep], -chi2[keep]))][: s.terms])
-    vocabulary, idf = u[keep], np.log((1 + rows) / (1 + df[keep])) + 1
+        # Corrected for continuity, as most terms are rare.
+        apart = np.maximum(np.abs(a * d - b * c) - rows / 2, 0)
+        chi2 = np.nan_to_num(rows * apart**2 / ((a + b) * (c + d) * (a + c) * (b + d)))
+    keep = np.sort(np.lexsort((u, -df, -chi2))[: s.terms])
+    # No term is left out for a weak association: it only weighs less, so any word in common is searched.
+    chi2 = chi2[keep] + LEAST
+    vocabulary = u[keep]
+    idf = (np.log((1 + rows) / (1 + df[keep])) + 1) * (chi2 / (chi2 + s.least_chi2)) ** SHARPNESS
     row, term, n = _known(row, h, n, vocabulary)
     w = _weights(row, term, n, idf, rows)
     # Examples alike stand together, which makes the blocks' maxima tight: by their heaviest term.
@@ -135,15 +146,16 @@ def nearest(m: Model, terms: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.
     k, size = m.settings.neighbours, m.settings.block
     bound = w @ m.bounds[terms]
     best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
+    starts = m.starts[terms].T
     for b in np.argsort(-bound, kind="stable"):
         if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
             break
-        score = np.zeros(size)
-        for t, x in zip(terms, w, strict=True):
-            lo, hi = m.starts[t, b], m.starts[t, b + 1]
-            if lo < hi:
-                score[m.example[lo:hi] - b * size] += x * m.weight[lo:hi]
-        got = np.flatnonzero(score > 0)
+        lo, n = starts[b], starts[b + 1] - starts[b]
+        flat = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        score = np.bincount(m.example[flat] - b * size, np.repeat(w, n) * m.weight[flat], minlength=size)
+        got = np.flatnonzero(score > (max(best_s[-1] - 1e-9, 0) if len(best_s) == k else 0))
+        if not len(got):
+            continue
         best_i = np.concatenate([best_i, got + b * size])
         best_s = np.concatenate([best_s, score[got]])
         order = np.lexsort((m.ids[best_i], -np.round(best_s, 12)))[:k]

@@ -340,6 +340,15 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(docs, empty).where("score <> 0").count() == 0
 
 
+def test_toxicity_of_few_labels_searches_every_word(spark):
+    texts = [(i, "vile scum" if i < 8 else "kind words") for i in range(16)] + [(20, "such scum"), (21, "more words"), (22, "no match here")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 8)) for i in range(16)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True), toxicity.Settings(calibration=0))
+    got = {r.doc_id: {e.toxic for e in r.evidence} for r in toxicity.score(docs, model).collect()}
+    assert (got[20], got[21], got[22]) == ({1}, {0}, set())
+
+
 def test_nearest_is_exact(spark):
     docs, labels = labelled(spark)
     m = toxicity.fit(docs, labels, F.lit(True), toxicity.Settings(least_chi2=0.0, neighbours=5, block=8))
