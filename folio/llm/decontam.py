@@ -47,15 +47,27 @@ class Index:
     question: list[np.ndarray]  # sorted hashes of the word triples
     answer: list[np.ndarray]
     window: int
+    short: tuple[int, ...]  # lengths, of one or two words, that parts have
 
 
 def _triples(h: np.ndarray) -> np.ndarray:
     """Hashes of the runs of three words; fewer words make one run."""
-    if len(h) < 3:
-        return K.mix(h.sum(dtype=K.U64, keepdims=True) + K.U64(len(h))) if len(h) else h
+    return _runs(h, min(len(h), 3))
+
+
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of ``n`` words, three at most; a run of fewer than three has its length in its hash."""
+    if n < 3:
+        second = h[1:] * K.U64(0x9E3779B97F4A7C15) if n == 2 else K.U64(0)
+        return K.mix(h[: len(h) - n + 1] + second + K.U64(n)) if len(h) >= n > 0 else h[:0]
     return K.mix(h[:-2] + h[1:-1] * K.U64(0x9E3779B97F4A7C15) + h[2:] * K.U64(0xC2B2AE3D27D4EB4F))
 
 
+def _held(h: np.ndarray, short: tuple[int, ...]) -> np.ndarray:
+    """Sorted hashes of a passage's word triples, and of its shorter runs where an item's part is as short."""
+    return np.unique(np.concatenate([_triples(h), *[_runs(h, n) for n in short]]))
+
+
 def parts(text: str) -> tuple[str, str]:
     """An item's question and answer: cut after the last '?', else at an answer mark, else in the middle."""
     for mark in ("\nAnswer:", "\nA:", "Answer:"):
@@ -78,7 +90,7 @@ def build(items: list[tuple[int, str]], s: Settings) -> Index:
         if len(h):
             q, a = (np.frombuffer(x.encode(), np.uint8) for x in parts(text))
             hq, ha = (K.word_hashes(x, np.array([0, len(x)]), plain=True)[0] for x in (q, a))
-            hashed.append((i, h, np.unique(_triples(hq)), np.unique(_triples(ha))))
+            hashed.append((i, h, np.unique(_triples(hq)), np.unique(_triples(ha)), {len(hq), len(ha)} & {1, 2}))
     # Items alike in length stand together, so a block's lowest threshold is near its others'.
     hashed.sort(key=lambda x: (len(x[1]), x[0]))
     n = len(hashed)
@@ -100,6 +112,7 @@ def build(items: list[tuple[int, str]], s: Settings) -> Index:
     return Index(
         terms, np.searchsorted(term, np.arange(len(terms) + 1)), item, weight, bounds, least, least_of_block,
         np.array([x[0] for x in hashed], np.int64), [x[2] for x in hashed], [x[3] for x in hashed], longest,
+        tuple(sorted(set().union(*[x[4] for x in hashed]))),
     )
 
 
@@ -154,7 +167,7 @@ def search(
             continue
         text = int(np.searchsorted(base, window[begins[k]], "right")) - 1
         start = int(first[text] + (window[begins[k]] - base[text]) * step)
-        held = np.unique(_triples(h[start : min(start + 2 * step, int(first[text + 1]))]))
+        held = _held(h[start : min(start + 2 * step, int(first[text + 1]))], index.short)
         for i in good.tolist():
             q, a = _share(index.question[i], held), _share(index.answer[i], held)
             if q >= s.overlap and a >= s.overlap:

@@ -146,6 +146,14 @@ def test_pages_give_their_article(spark, sf_dir):
 # --- 5 ---------------------------------------------------------------------------------------
 
 
+def test_decontamination_finds_short_answers(spark):
+    items = [(1, "What is the capital city of France? Paris"), (2, "Which letter comes right after a?\nAnswer: B"), (3, "blue whale"), (4, "who wrote hamlet? William Shakespeare")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(i, f"some words before it {t} and others behind") for i, t in items] + [(5, "What is the capital city of France? London"), (6, "who wrote hamlet? Shakespeare William")]
+    got = decontam.matches(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(1, 5)}
+
+
 def test_media_copies(spark):
     rng = np.random.default_rng(5)
     base = media.draw(rng.normal(size=(6, 64)))
