@@ -1,9 +1,11 @@
 """Media copies by local descriptors: cropped, edited or repeated images fall into one class.
 
 Harris corners on a pyramid of scales, an orientation from the patch's intensity centroid, and 256
-rotated binary tests make a point. Points meet in Hamming tables, one for each 32-bit word of their
-descriptor; any two images that share enough of these buckets are compared in full, and linked if
-their matches agree on one scale, rotation and shift.
+rotated binary tests make a point. The tests are picked from a pool so that, on textures drawn here,
+they are balanced and little correlated: then few unrelated points share a word. Points meet in
+Hamming tables, one for each of TABLES words of their descriptor; images that share a bucket by points
+alike in further bits are compared in full, and linked if their matches agree on one scale, rotation
+and shift.
 
 An image is a struct (height, width, channels, data) of unsigned bytes, row by row, as Spark's image
 source gives; several channels are averaged.
@@ -23,26 +25,62 @@ from folio.llm import kernel as K
 from folio.llm.graph import components
 from folio.llm.store import discard, materialize
 
-#: Points of a level for each 96 x 96 pixels; radius that the tests reach; angles told apart.
-POINTS, REACH, ANGLES = 12, 12, 30
-#: Images of a side; every two sides meet in one task.
-GROUP = 8192
-#: Bits in which matching points may differ; points two images must share; matches that must agree, in pixels.
-DIFFER, SHARED, AGREE, NEAR = 40, 2, 6, 4.0
-TESTS, WORDS = 256, 8
+#: Strongest points of a level for each 96 x 96 pixels, and at most; of these so many enter the tables.
+POINTS, MOST, KEYED = 32, 512, 12
+#: Radius that the tests reach; angles told apart; tests, and the pool they are picked from.
+REACH, ANGLES, TESTS, POOL = 12, 30, 256, 1024
+WORDS = TESTS // 32
+#: Levels of an octave; images with a longer side than LARGEST are first averaged down to it.
+OCTAVE, LARGEST = 3, 1024
+#: Hamming tables, each of a 32-bit word, and in how many of the 64 bits after it points of a bucket may differ.
+TABLES, LOOSE = 4, 22
+#: Bits in which matching points may differ; matches that must agree, in pixels; members of a side of a bucket.
+DIFFER, AGREE, NEAR, SIDE = 60, 6, 4.0, 2048
 
 
-@lru_cache(maxsize=1)
-def _patterns() -> np.ndarray:
+def _turned(spread: np.ndarray) -> np.ndarray:
     """[angle, test, end, (y, x)] offsets of the binary tests, rotated."""
-    u = (K.mix(np.arange(1, 4 * TESTS * 3 + 1, dtype=K.U64)) >> K.U64(40)).astype(float) / 2**24
-    spread = (u.reshape(3, TESTS, 2, 2).sum(axis=0) - 1.5) / 1.5 * (REACH - 1)
-    norm = np.maximum(1.0, np.hypot(spread[..., 0], spread[..., 1]) / (REACH - 1))
-    spread /= norm[..., None]
     a = 2 * np.pi * np.arange(ANGLES) / ANGLES
     y, x = spread[..., 0], spread[..., 1]
     turned = [np.stack([y * np.cos(t) + x * np.sin(t), x * np.cos(t) - y * np.sin(t)], axis=-1) for t in a]
-    return np.rint(np.array(turned)).astype(np.int64)
+    return np.rint(np.array(turned)).astype(np.int8)
+
+
+def _uniform(n: int, start: int = 1) -> np.ndarray:
+    return (K.mix(np.arange(start, start + n, dtype=K.U64)) >> K.U64(40)).astype(float) / 2**24
+
+
+def _textures() -> np.ndarray:
+    """Noise blurred to four grains."""
+    u = _uniform(24 * 160 * 160, 7).reshape(24, 160, 160) - 0.5
+    blurred = [_box(_box(u[i : i + 1], 1 + i % 4), 1) for i in range(24)]
+    return np.clip(np.concatenate([x / x.std() * 45 + 128 for x in blurred]), 0, 255)
+
+
+@lru_cache(maxsize=1)
+def patterns() -> np.ndarray:
+    """The rotated offsets of the picked tests, word after word; the same wherever they are made."""
+    spread = (_uniform(4 * POOL * 3).reshape(3, POOL, 2, 2).sum(axis=0) - 1.5) / 1.5 * (REACH - 1)
+    spread /= np.maximum(1.0, np.hypot(spread[..., 0], spread[..., 1]) / (REACH - 1))[..., None]
+    seen = np.concatenate([bits for _, bits in points(_textures(), _turned(spread))])
+    bits = np.unpackbits(seen.view(np.uint8).reshape(len(seen), -1), axis=1).astype(float)
+    mean, std = bits.mean(axis=0), bits.std(axis=0)
+    z = (bits - mean) / np.maximum(std, 1e-6)
+    alike = np.rint(np.abs(z.T @ z / len(z)) * 1e6) / 1e6
+    balanced = np.lexsort((np.arange(POOL), np.rint(np.abs(mean - 0.5) * 1e6)))
+    picked: list[int] = []
+    for limit in np.arange(0.1, 1.01, 0.02):
+        picked = []
+        for k in balanced.tolist():
+            if std[k] > 0 and (not picked or alike[k, picked].max() <= limit):
+                picked.append(k)
+        if len(picked) >= TESTS:
+            break
+    words: list[list[int]] = [[] for _ in range(WORDS)]
+    for k in picked[:TESTS]:
+        free = [w for w in words if len(w) < 32]
+        min(free, key=lambda w: (sum(alike[k, j] ** 2 for j in w), len(w))).append(k)
+    return _turned(spread[[k for w in words for k in w]])
 
 
 def _box(x: np.ndarray, r: int) -> np.ndarray:
@@ -69,8 +107,12 @@ def _scaled(x: np.ndarray, h: int, w: int) -> np.ndarray:
     return top * (1 - fy) + low * fy
 
 
-def points(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each image of a stack [n, h, w]: (x, y, scale, angle) rows in its own pixels, and descriptors [.., 8]."""
+def points(stack: np.ndarray, tests: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each image of a stack [n, h, w]: (x, y, scale, angle) rows in its own pixels, and descriptors [.., 8].
+
+    The points of a level stand together, the strongest first.
+    """
+    tests = patterns() if tests is None else tests
     n, height, width = stack.shape
     found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
     scale, base = 1.0, stack.astype(np.float64)
@@ -93,10 +135,10 @@ def points(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
                 best = np.maximum(best, moved)
             top = best
         strong = np.where((inner >= top) & (inner > 1.0), inner, 0)
-        many = max(POINTS, round(POINTS * h * w / 9216))
         flat = strong.reshape(n, -1)
-        many = min(many, flat.shape[1])
-        at = np.argpartition(-flat, many - 1, axis=1)[:, :many]
+        many = min(max(POINTS, round(POINTS * h * w / 9216)), MOST, flat.shape[1])
+        at = np.sort(np.argpartition(-flat, many - 1, axis=1)[:, :many], axis=1)
+        at = np.take_along_axis(at, np.argsort(-np.take_along_axis(flat, at, axis=1), axis=1, kind="stable"), axis=1)
         image, k = np.nonzero(np.take_along_axis(flat, at, axis=1) > 0)
         cell = at[image, k]
         y, x = cell // inner.shape[2] + margin, cell % inner.shape[2] + margin
@@ -105,7 +147,7 @@ def points(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         patch = smooth[image[:, None, None], y[:, None, None] + r[None, :, None], x[:, None, None] + r[None, None, :]] * disc
         angle = np.arctan2((patch * r[None, :, None]).sum(axis=(1, 2)), (patch * r[None, None, :]).sum(axis=(1, 2)))
         turn = np.rint(angle / (2 * np.pi) * ANGLES).astype(int) % ANGLES
-        p = _patterns()[turn]
+        p = tests[turn].astype(np.int64)
         a = smooth[image[:, None], y[:, None] + p[:, :, 0, 0], x[:, None] + p[:, :, 0, 1]]
         b = smooth[image[:, None], y[:, None] + p[:, :, 1, 0], x[:, None] + p[:, :, 1, 1]]
         bits = np.packbits(a < b, axis=1).view(np.uint32)
@@ -114,7 +156,7 @@ def points(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         for i in range(n):
             if cuts[i] < cuts[i + 1]:
                 found[i].append((where[cuts[i] : cuts[i + 1]], bits[cuts[i] : cuts[i + 1]]))
-        scale *= 2**0.5
+        scale *= 2 ** (1 / OCTAVE)
     none = (np.zeros((0, 4)), np.zeros((0, WORDS), np.uint32))
     return [tuple(map(np.concatenate, zip(*f, strict=True))) if f else none for f in found]
 
@@ -143,168 +185,222 @@ def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def gray(height: int, width: int, channels: int, data: bytes | None) -> np.ndarray | None:
-    """The image as one plane, or None if it isn't one."""
+    """The image as one plane of at most LARGEST pixels a side, or None if it isn't one."""
     if not data or height <= 0 or width <= 0 or channels <= 0 or len(data) < height * width * channels:
         return None
     flat = np.frombuffer(data, np.uint8)[: height * width * channels].reshape(height, width, channels)
-    return flat[:, :, 0] if channels == 1 else flat.mean(axis=2)
-
-
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (b.slice(i, 256) for b in batches for i in range(0, len(b), 256)):
-        K.lean()
-        ids, images = batch.column(0), batch.column(1).to_pylist()
-        out: list[tuple] = [(None, None, b"", b"")] * len(images)
-        by_size: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-
-        def done(some: list[tuple[int, np.ndarray]], out: list[tuple] = out) -> None:
-            for (i, x), (where, bits) in zip(some, points(np.stack([x for _, x in some])), strict=True):
-                raw = np.ascontiguousarray(x).tobytes() + repr(x.shape).encode()
-                prefix = K.prefix_hash(np.frombuffer(raw, np.uint8), lower=False)
-                h = K.mix(prefix[-1:])
-                out[i] = (int(K.as_long(h)[0]), x.shape[0] * (1 << 20) + x.shape[1], where.astype("<f4").tobytes(), bits.tobytes())
-            some.clear()
-
-        for i, m in enumerate(images):
-            x = gray(m["height"] or 0, m["width"] or 0, m["channels"] or 0, m["data"]) if m else None
-            if x is not None:
-                some = by_size.setdefault(x.shape, [])
-                some.append((i, x))
-                if len(some) * x.size >= 200_000:
+    k = -(-max(height, width) // LARGEST)
+    if k == 1:
+        return flat[:, :, 0] if channels == 1 else flat.mean(axis=2)
+    # Means of k x k pixels, a band of rows at a time; an edge that fills no cell is left out, unless it is all there is.
+    rows, cols = max(1, height // k), max(1, width // k)
+    tall, wide = min(k, height), min(k, width)
+    bands = [flat[r * k : r * k + tall, : cols * wide].mean(axis=(0, 2)).reshape(cols, wide).mean(axis=1) for r in range(rows)]
+    return np.array(bands)
+
+
+def _pixels(m: dict) -> np.ndarray:
+    """A hash of all pixels as they are, and of their shape."""
+    size = (m["height"], m["width"], m["channels"])
+    raw = bytes(m["data"])[: size[0] * size[1] * size[2]] + repr(size).encode()
+    out = K.U64(len(raw))
+    for i in range(0, len(raw), 1 << 20):
+        out = K.mix(out ^ K.mix(K.prefix_hash(np.frombuffer(raw[i : i + (1 << 20)], np.uint8), lower=False)[-1:]))
+    return out
+
+
+def _described(tests: np.ndarray):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, len(b), 256)):
+            K.lean()
+            ids, images = batch.column(0), batch.column(1)
+            out: list[tuple] = [(None, None, b"", b"")] * len(images)
+            by_size: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+
+            def done(some: list[tuple[int, np.ndarray]], out: list[tuple] = out) -> None:
+                for (i, _), (where, bits) in zip(some, points(np.stack([x for _, x in some]), tests), strict=True):
+                    out[i] = (*out[i][:2], where.astype("<f4").tobytes(), bits.tobytes())
+                some.clear()
+
+            for i in range(len(images)):
+                m = images[i].as_py()
+                x = gray(m["height"] or 0, m["width"] or 0, m["channels"] or 0, m["data"]) if m else None
+                if x is not None:
+                    out[i] = (int(K.as_long(_pixels(m))[0]), m["height"] * (1 << 20) + m["width"], b"", b"")
+                    some = by_size.setdefault(x.shape, [])
+                    some.append((i, x))
+                    if len(some) * x.size >= 200_000:
+                        done(some)
+            for some in by_size.values():
+                if some:
                     done(some)
-        for some in by_size.values():
-            if some:
-                done(some)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        cols = [pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([ids, *cols], names=["id", "digest", "shape", "where", "bits"])
-
-
-def _keys(points_: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each image's points, each once an image; and the image of each."""
-    word = np.arange(1, WORDS + 1, dtype=K.U64)
-    keys = [K.distinct((d | word << K.U64(32)).ravel()) for d in points_]
-    return np.concatenate(keys or [np.zeros(0, K.U64)]), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-
-
-def _met(table: pa.Table) -> pa.Table:
-    """Pairs across two sides (or within one) that share SHARED buckets and have AGREE points with a near one.
-
-    Buckets are counted for every pair, whoever else is in them. The second condition is implied by
-    AGREE mutual matches, so it loses no link; only what passes both leaves the task.
-    """
-    K.lean()
-    ids, side = (table.column(c).to_numpy() for c in ("id", "side"))
-    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-    bits = [np.frombuffer(raw, np.uint32).reshape(-1, WORDS) for raw in table.column("bits").to_pylist()]
-    left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-    mine, theirs = [bits[i] for i in left], [bits[i] for i in right]
-    key, at = _keys([d.astype(K.U64) for d in theirs])
-    order = np.argsort(key)
-    key, at = key[order], at[order]
-    asked, asks = _keys([d.astype(K.U64) for d in mine])
-    begin = np.searchsorted(key, asked)
-    many = np.searchsorted(key, asked, "right") - begin
-    rows = np.searchsorted(asks, np.arange(len(mine) + 1))
-    work = np.concatenate([[0], np.cumsum(np.bincount(asks, many, minlength=len(mine)).astype(np.int64))])
-    flat = np.concatenate(theirs).view(K.U64) if theirs else np.zeros((0, WORDS // 2), K.U64)
-    first, second = np.ascontiguousarray(flat[:, 0]), np.ascontiguousarray(flat[:, 1])
-    ends = np.concatenate([[0], np.cumsum([len(d) for d in theirs])]).astype(np.int64)
-    found = [np.zeros((0, 2), np.int64)]
-    for i, j in ((x, min(x + 64, j)) for i, j in K.blocks(work, 1 << 21) for x in range(i, j, 64)):
-        n = many[rows[i] : rows[j]]
-        hit = np.repeat(begin[rows[i] : rows[j]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        cell = np.repeat(asks[rows[i] : rows[j]] - i, n) * len(right) + at[hit]
-        who, whom = np.nonzero(np.bincount(cell, minlength=(j - i) * len(right)).reshape(j - i, -1) >= SHARED)
-        if lo == hi:
-            who, whom = who[whom > who + i], whom[whom > who + i]
-        cuts = np.searchsorted(who, np.arange(j - i + 1))
-        for k in range(j - i):
-            others, a = whom[cuts[k] : cuts[k + 1]], mine[i + k].view(K.U64)
-            sizes = np.concatenate([[0], np.cumsum(ends[others + 1] - ends[others])])
-            for x, y in K.blocks(sizes, 2048):
-                some = sizes[x : y + 1] - sizes[x]
-                owner = np.repeat(np.arange(y - x), np.diff(some))
-                point = np.repeat(ends[others[x:y]] - some[:-1], np.diff(some)) + np.arange(some[-1])
-                # Half of the words rule out nearly all pairs of points.
-                apart = np.bitwise_count(a[:, :1] ^ first[point])
-                apart += np.bitwise_count(a[:, 1:2] ^ second[point])
-                p, q = np.divmod(np.flatnonzero(apart <= DIFFER), len(point))
-                near = np.bitwise_count(a[p] ^ flat[point[q]]).sum(axis=1) <= DIFFER
-                ok = np.unique(p[near] * (y - x) + owner[q[near]]) % (y - x)
-                good = others[x:y][np.bincount(ok, minlength=y - x) >= AGREE]
-                found.append(np.stack([np.full(len(good), left[i + k]), right[good]], axis=1))
-    pairs = ids[np.concatenate(found)]
-    return pa.table({"id": pa.array(pairs.max(axis=1), pa.int64()), "to": pa.array(pairs.min(axis=1), pa.int64())})
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            cols = [pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([ids, *cols], names=["id", "digest", "shape", "where", "bits"])
+
+    return run
+
+
+def keys(where: bytes, bits: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of an image's KEYED strongest points of each level, each once, and the 64 bits after the word."""
+    scale = np.frombuffer(where, "<f4").reshape(-1, 4)[:, 2]
+    first = np.flatnonzero(np.diff(scale, prepend=0) != 0)
+    many = np.diff(np.append(first, len(scale)))
+    rank = np.arange(len(scale)) - np.repeat(first, many)
+    d = np.frombuffer(bits, np.uint32).reshape(-1, WORDS)[rank < np.repeat(np.maximum(KEYED, many * KEYED // POINTS), many)]
+    d = d.astype(K.U64)
+    step = WORDS // TABLES
+    word = np.concatenate([d[:, t * step] | K.U64(t << 32) for t in range(TABLES)])
+    more = np.concatenate([d[:, (t * step + 1) % WORDS] << K.U64(32) | d[:, (t * step + 2) % WORDS] for t in range(TABLES)])
+    word, at = np.unique(word, return_index=True)
+    return word, more[at]
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (b.slice(i, 1024) for b in batches for i in range(0, len(b), 1024)):
+        ids = batch.column(0).to_numpy()
+        rows = [keys(w, b) for w, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        cols = [np.repeat(ids, [len(k) for k, _ in rows])]
+        cols += [K.as_long(np.concatenate([r[c] for r in rows] or [np.zeros(0, K.U64)])) for c in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "key", "more"])
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of whole groups (key, lo, hi) of sorted batches, and where each group starts."""
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        now = [c.to_numpy() for c in batch.columns]
+        now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        new = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1])) + 1
+        if len(new):
+            yield [c[: new[-1]] for c in now], np.concatenate([[0], new])
+            now = [c[new[-1] :] for c in now]
+        rest = now
+    if rest is not None and len(rest[0]):
+        yield rest, np.array([0, len(rest[0])])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of one bucket in different components, alike in the bits after the word; each once a batch."""
+    for (_, lo, hi, side, ids, more, component), starts in _segments(batches):
+        found = [np.zeros((0, 2), np.int64)]
+        more, n = more.view(K.U64), np.diff(starts)
+
+        def keep(i: np.ndarray, j: np.ndarray, found=found, lo=lo, hi=hi, side=side, ids=ids, more=more, component=component) -> None:  # noqa: ANN001
+            ok = (component[i] != component[j]) & (np.bitwise_count(more[i] ^ more[j]) <= LOOSE)
+            # Between two sides only pairs of one with the other: those within a side meet in its own group.
+            ok &= (lo[i] == hi[i]) | (side[i] != side[j])
+            a, b = ids[i[ok]], ids[j[ok]]
+            found.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0))
+
+        small = n <= 64
+        # All pairs of the small groups at once, block by block; of a large one row by row.
+        row = np.repeat(np.arange(len(n)), n)
+        later = np.where(small[row], starts[1:][row] - np.arange(len(row)) - 1, 0)
+        for x, y in K.blocks(np.concatenate([[0], np.cumsum(later)]), 1 << 20):
+            i = np.repeat(np.arange(x, y), later[x:y])
+            keep(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[x:y]) - later[x:y], later[x:y]))
+        for g in np.flatnonzero(~small).tolist():
+            for i in range(starts[g], starts[g + 1] - 1):
+                j = np.arange(i + 1, starts[g + 1])
+                keep(np.full(len(j), i), j)
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id", "to"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def read(where: bytes, bits: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(where, "<f4").reshape(-1, 4).astype(float), np.frombuffer(bits, np.uint32).reshape(-1, WORDS)
 
-    for batch in batches:
+    for batch in (b.slice(i, 256) for b in batches for i in range(0, len(b), 256)):
         c = [x.to_pylist() for x in batch.columns]
         n = [agreeing(read(a, b), read(x, y)) for a, b, x, y in zip(*c[2:], strict=True)]
-        kept = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64())], names=["id", "to", "matches"])
-        yield kept.filter(pa.array([v >= AGREE for v in n], pa.bool_()))
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["id", "to"]).filter(pa.array([v >= AGREE for v in n], pa.bool_()))
+
+
+def _linked(pairs: DataFrame, ends: DataFrame) -> DataFrame:
+    """The pairs whose images agree; reads points of their ends only."""
+    pairs = pairs.join(ends, "id")
+    pairs = pairs.join(ends.select(F.col("id").alias("to"), F.col("where").alias("w"), F.col("bits").alias("b")), "to")
+    return pairs.select("id", "to", "where", "bits", "w", "b").mapInArrow(_compared, "id long, to long")
 
 
 def copies(images: DataFrame, id_col: str, image: Column) -> DataFrame:
-    """(id_col, n_points, class_id, n_links, kept): one row for each image, in classes of copies.
+    """(id_col, n_points, class_id, kept): one row for each image, in classes of copies.
 
     ``image`` is a struct (height, width, channels, data). Images of equal pixels are one class
-    without comparison; others are linked if AGREE or more of their matches agree. class_id is the
-    smallest id of the class, n_links the number of links between different images that the image (or
-    its equal) has. What isn't an image, and what has a null id, stands alone; an image
-    without corners is linked to equal ones only. Repeated ids share their class.
+    without comparison. Two others are linked if they share a bucket by points alike in LOOSE of the
+    bits that follow and AGREE or more of their matches agree; class_id is the smallest id that links
+    lead to. What isn't an image, and what has a null id, stands alone; an image without corners is
+    linked to equal ones only. A side above LARGEST pixels is averaged down before corners are sought, so
+    large images cost bounded memory. Repeated ids share their class, ties go to the smaller digest; no
+    rows give no rows; other columns are not read.
+
+    1. One pass describes each image; equal pixels become one class, represented by its smallest id.
+    2. A bucket's members are held against its smallest id, each image against the one that most of its buckets name.
+    3. Buckets that still hold several components compare the members of different ones, SIDE by SIDE.
     """
+    spark = images.sparkSession
     rows = images.select(F.col(id_col).cast("long").alias("id"), image.alias("image"))
     schema = "id long, digest long, shape long, where binary, bits binary"
-    described, _ = materialize(rows.mapInArrow(_described, schema), "media")
+    described, described_path = materialize(rows.mapInArrow(_described(patterns()), schema), "media")
     usable = described.where("id is not null and digest is not null")
     classes = usable.groupBy("digest", "shape").agg(F.min("id").alias("rep"))
-    picked = usable.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    picked = picked.dropDuplicates(["id"])
-    # Every side meets its own and all others, so a pair's buckets are counted in one task.
-    met = picked.where(F.octet_length("bits") > 0).select("id", "bits")
-    sides = max(1, -(-classes.count() // GROUP))
-    met = met.withColumn("side", F.pmod(F.xxhash64("id"), F.lit(sides)).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
-    met = met.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("other")
-    pairs, pairs_path = materialize(met.groupBy("lo", "hi").applyInArrow(K.trimmed(_met), "id long, to long"), "media-pairs")
-    ends = picked.select("id", "where", "bits")
-    pairs = pairs.join(ends, "id")
-    pairs = pairs.join(ends.select(F.col("id").alias("to"), F.col("where").alias("w"), F.col("bits").alias("b")), "to")
-    compared = pairs.select("id", "to", "where", "bits", "w", "b").mapInArrow(_compared, "id long, to long, matches long")
-    links, _ = materialize(compared, "media-links")
-    found = components(links, "id", "to").select(F.col("node").alias("rep"), "component")
-    discard(images.sparkSession, pairs_path)
-    degree = links.select(F.explode(F.array("id", "to")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    labels = classes.join(found, "rep", "left").join(degree, "rep", "left")
-    labels = labels.select("digest", "shape", F.coalesce("component", "rep").alias("component"), "n_links")
+    # One image of each id: its smallest digest, so that repeated ids give the same classes in every run.
+    ends = classes.groupBy(F.col("rep").alias("id")).agg(F.min(F.struct("digest", "shape")).alias("x")).select("id", "x.*")
+    ends = usable.where(F.octet_length("bits") > 0).join(ends, ["id", "digest", "shape"], "left_semi")
+    # Equal pixels have equal points: any of an id's repeated rows will do.
+    ends, ends_path = materialize(ends.groupBy("id").agg(F.min("where").alias("where"), F.min("bits").alias("bits")), "media-ends")
+
+    banded = ends.select("id", "where", "bits").mapInArrow(_banded, "id long, key long, more long")
+    heads = banded.groupBy("key").agg(F.min(F.struct("id", "more")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    shared, shared_path = materialize(banded.join(heads.hint("merge"), "key"), "media-shared")
+    near = F.bit_count(F.col("more").bitwiseXOR(F.col("head.more"))) <= LOOSE
+    named = shared.where(near & (F.col("id") != F.col("head.id"))).groupBy("id", F.col("head.id").alias("to")).agg(F.count("*").alias("c"))
+    best = named.groupBy("id").agg(F.max(F.struct("c", -F.col("to"))).alias("m")).select("id", (-F.col("m.col2")).alias("to"))
+    links, links_path = materialize(_linked(best, ends), "media-links")
+    found = components(links, "id", "to").select(F.col("node").alias("id"), "component")
+
+    member = shared.select("key", "id", "more", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = member.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    member = member.join(mixed.select("key").hint("merge"), "key")
+    sides = F.ceil(F.col("n") / SIDE).cast("int")
+    member = member.withColumn("side", F.pmod(F.xxhash64("id"), sides.cast("long")).cast("int"))
+    # Each member meets its own side and all others of its bucket.
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
+    member = member.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "id", "more", "component")
+    member = member.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    pairs, pairs_path = materialize(member.mapInArrow(_across, "id long, to long").distinct(), "media-pairs")
+    again, again_path = materialize(_linked(pairs, ends), "media-links")
+    if not again.isEmpty():
+        found = components(links.unionByName(again), "id", "to").select(F.col("node").alias("id"), "component")
+    labels = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    labels = labels.select("digest", "shape", F.coalesce("component", "rep").alias("component"))
     out = described.select("id", "digest", "shape", (F.octet_length("bits") / (4 * WORDS)).cast("long").alias("n_points"))
     out = out.join(labels, ["digest", "shape"], "left")
     class_id = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    out = out.select(F.col("id").alias(id_col), "n_points", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = out.select(F.col("id").alias(id_col), "n_points", class_id.alias("class_id"))
+    for path in (ends_path, shared_path, links_path, pairs_path, again_path):
+        discard(spark, path)
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("class_id")))
 
 
-SIDE = 96
+DRAWN = 96
 
 
 @lru_cache(maxsize=1)
 def _fields(size: int) -> np.ndarray:
     """One band-limited random field for each component of a vector."""
-    u = (K.mix(np.arange(1, size * SIDE * SIDE + 1, dtype=K.U64)) >> K.U64(40)).astype(float) / 2**24 - 0.5
-    x = _box(_box(u.reshape(size, SIDE, SIDE), 2), 1)
+    u = _uniform(size * DRAWN * DRAWN) - 0.5
+    x = _box(_box(u.reshape(size, DRAWN, DRAWN), 2), 1)
     return (x / x.std()).reshape(size, -1)
 
 
 def draw(vectors: np.ndarray) -> np.ndarray:
-    """Gray images [n, SIDE, SIDE] of vectors: alike vectors give alike images."""
+    """Gray images [n, DRAWN, DRAWN] of vectors: alike vectors give alike images."""
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     field = vectors / np.where(norm > 0, norm, 1) @ _fields(vectors.shape[1])
-    return np.clip(np.rint(128 + 45 * field), 0, 255).astype(np.uint8).reshape(-1, SIDE, SIDE)
+    return np.clip(np.rint(128 + 45 * field), 0, 255).astype(np.uint8).reshape(-1, DRAWN, DRAWN)
 
 
 def drawn(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -318,7 +414,7 @@ def drawn(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 rows: list[dict | None] = []
                 for v in b.column(1).to_pylist():
                     whole = v and all(x is not None and np.isfinite(x) for x in v)
-                    rows.append({"height": SIDE, "width": SIDE, "channels": 1, "data": draw(np.array([v]))[0].tobytes()} if whole else None)
+                    rows.append({"height": DRAWN, "width": DRAWN, "channels": 1, "data": draw(np.array([v]))[0].tobytes()} if whole else None)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], names=[id_col, "image"])
 
     some = vectors.select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col).cast("array<double>").alias("vector"))

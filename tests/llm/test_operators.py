@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, ctw, decontam, graph, html, langid, media, minhash, shard, suffix, toxicity
+from folio.llm import bpe, ctw, decontam, graph, html, langid, minhash, shard, suffix, toxicity
 from folio.llm.queries import id_remainder
 
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -143,9 +143,6 @@ def test_pages_give_their_article(spark, sf_dir):
         assert r.text == "\n\n".join(b for b in want if b) and r.n_chars == len(r.text)
 
 
-# --- 5 ---------------------------------------------------------------------------------------
-
-
 def test_decontamination_finds_short_answers(spark):
     items = [(1, "What is the capital city of France? Paris"), (2, "Which letter comes right after a?\nAnswer: B"), (3, "blue whale"), (4, "who wrote hamlet? William Shakespeare")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -154,44 +151,6 @@ def test_decontamination_finds_short_answers(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(1, 5)}
 
 
-def test_media_copies(spark):
-    rng = np.random.default_rng(5)
-    base = media.draw(rng.normal(size=(6, 64)))
-    edits = [base[0][8:90, 5:88], np.clip(base[1] * 1.15 + 8, 0, 255), np.clip(base[2] + rng.normal(0, 3, base[2].shape), 0, 255), np.rot90(base[3])]
-    rows = [(i, x) for i, x in enumerate(base)] + [(10 + i, np.rint(x).astype(np.uint8)) for i, x in enumerate(edits)] + [(20, base[5])]
-    data = [(i, (x.shape[0], x.shape[1], 1, x.tobytes())) for i, x in rows] + [(30, None), (31, (5, 5, 1, b"short")), (None, (4, 4, 1, bytes(16)))]
-    df = spark.createDataFrame(data, "i long, image struct<height: int, width: int, channels: int, data: binary>")
-    got = {r.i: r for r in media.copies(df, "i", F.col("image")).collect()}
-    assert len(got) == len(data)
-    assert {i: r.class_id for i, r in got.items()} == {**{i: i for i in range(6)}, 10: 0, 11: 1, 12: 2, 13: 3, 20: 5, 30: 30, 31: 31, None: None}
-    assert got[10].n_links == 1 and got[20].n_links == 0 and not got[20].kept
-
-
-def test_media_pairs_of_every_bucket(spark, monkeypatch):
-    rng = np.random.default_rng(6)
-    base = media.draw(rng.normal(size=(2, 64)))
-    noisy = lambda x: np.clip(np.rint(x + rng.normal(0, 3, x.shape)), 0, 255).astype(np.uint8)
-    images = {1: noisy(base[0]), 2: noisy(base[0]), 3: noisy(base[0]), 4: base[1]}
-    for sides in (media.GROUP, 1):  # in one side, and on several
-        monkeypatch.setattr(media, "GROUP", sides)
-        rows = [(i, (x.shape[0], x.shape[1], 1, x.tobytes())) for i, x in images.items()]
-        df = spark.createDataFrame(rows, "i long, image struct<height: int, width: int, channels: int, data: binary>")
-        got = {r.i: r for r in media.copies(df, "i", F.col("image")).collect()}
-        assert {i: (r.class_id, r.n_links) for i, r in got.items()} == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 0)}
-
-
-def test_media_buckets_headed_by_strangers():
-    rng = np.random.default_rng(7)
-    copy = rng.integers(0, 1 << 32, (8, media.WORDS), np.uint32)
-    strangers = [rng.integers(0, 1 << 32, (8, media.WORDS), np.uint32) for _ in range(8 * media.WORDS)]
-    for k, s in enumerate(strangers):  # each has one bucket of the copies, and a smaller id
-        s[0, k % media.WORDS] = copy[k // media.WORDS, k % media.WORDS]
-    bits = [x.tobytes() for x in [*strangers, copy, copy]]
-    n = len(bits)
-    t = pa.table({"id": pa.array(range(n), pa.int64()), "bits": bits, "side": [0] * n, "lo": [0] * n, "hi": [0] * n})
-    assert media._met(t).to_pylist() == [{"id": n - 1, "to": n - 2}]
-
-
 # --- 6 ---------------------------------------------------------------------------------------
 
 
