@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, ctw, decontam, graph, html, langid, minhash, shard, suffix, toxicity
+from folio.llm import bpe, ctw, graph, html, langid, minhash, shard, suffix, toxicity
 from folio.llm.queries import id_remainder
 
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -84,73 +84,6 @@ def test_bpe_equals_tiktoken(spark, odd, docs):
 # --- 3 ---------------------------------------------------------------------------------------
 
 
-def test_decontamination_finds_what_holds_an_item(spark, docs, sf_dir):
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    items = [(r.item_id, r.text) for r in bench.collect()]
-    want = {(d.doc_id, i) for d in docs.collect() for i, t in items if t in d.text}
-    got = decontam.matches(docs, bench).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == want and want
-    few = decontam.Settings(items=7)  # several indexes give the same
-    assert {(r.doc_id, r.item_id) for r in decontam.matches(docs, bench, few).collect()} == want
-    assert decontam.clean(docs, bench).count() == docs.count() - len({d for d, _ in want})
-
-
-def test_block_bounds_drop_nothing():
-    rng = np.random.default_rng(3)
-    vocab = [f"w{i}" for i in range(60)]
-    items = [(i, " ".join(rng.choice(vocab, rng.integers(4, 12)))) for i in range(40)]
-    s = decontam.Settings(threshold=0.5, overlap=0.0, block=4)
-    index = decontam.build(items, s)
-    text = " ".join(rng.choice(vocab, 300))
-    from folio.llm import kernel as K
-
-    buf = np.frombuffer(text.encode(), np.uint8)
-    h, first = K.word_hashes(buf, np.array([0, len(buf)]), plain=True)
-    got = {i for _, i in decontam.search(index, h, first, s)}
-    want, step = set(), index.window
-    for at in range(0, max(len(h) - step, 1), step):
-        inside = set(h[at : at + 2 * step].tolist())
-        for i in range(len(index.ids)):
-            total = sum(w for t, x, w in zip(np.repeat(index.terms, np.diff(index.starts)), index.item, index.weight, strict=True) if x == i and int(t) in inside)
-            if total >= index.least[i] - 1e-9:
-                want.add(i)
-    assert got == want
-
-
-# --- 4 ---------------------------------------------------------------------------------------
-
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><a href=1>Home</a></nav>
-<div class="cookie-notice">We use cookies on this site and ask you to accept them all.</div><header><h1>Site</h1></header>
-<article><h1>Head &amp; line</h1><p><b>First.<br><p>Second&nbsp;one,  with a <a href='x>y'>link</a>.</p><script>var t="</p>";</script>
-<div class="comments"><p>Great read, thank you so much for writing all of this!</p></div><form>Name <input></form><p>Tail</p></article>
-<aside>More</aside><footer>&copy; us</footer>"""
-
-
-def test_main_text():
-    assert html.main_text(PAGE) == "Head & line\n\nFirst.\n\nSecond one, with a link.\n\nTail"
-    assert html.main_text(None) == html.main_text("") == html.main_text("<p><!-- open") == ""
-    x, y = html.labelled()
-    assert [html.classify(html.tree(), list(r)) for r in x] == y.tolist()
-
-
-def test_pages_give_their_article(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("text", F.lit("clash"))
-    for r in html.extract(pages, "html").collect():
-        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1].replace("<br>", "\n")
-        import html as h
-
-        want = [" ".join(h.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", inner)]
-        assert r.text == "\n\n".join(b for b in want if b) and r.n_chars == len(r.text)
-
-
-def test_decontamination_finds_short_answers(spark):
-    items = [(1, "What is the capital city of France? Paris"), (2, "Which letter comes right after a?\nAnswer: B"), (3, "blue whale"), (4, "who wrote hamlet? William Shakespeare")]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    texts = [(i, f"some words before it {t} and others behind") for i, t in items] + [(5, "What is the capital city of France? London"), (6, "who wrote hamlet? Shakespeare William")]
-    got = decontam.matches(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(1, 5)}
-
-
 # --- 6 ---------------------------------------------------------------------------------------
 
 
