@@ -1,13 +1,15 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into a flat list of text blocks. Each is described by its word count and link density,
-those of the blocks before and after it, and what it stands in; a decision tree, grown here from the
-small labelled table below, tells content from boilerplate.
+those of the blocks before and after it, and the elements it stands in; a decision tree, grown here
+from the labelled blocks of the layouts below, tells content from boilerplate. No feature decides
+alone: what a class name hints at counts less the more of the page's words its element holds.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -18,185 +20,264 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-FEATURES = "words link words_before link_before words_after link_after boiler article page_article heading".split()
-
-#: Labelled blocks, one a line: the features in this order, then 1 for content.
-TABLE = """
-6 1.0 0 0.0 6 1.0 1 0 1 0 0
-1 1.0 1 1.0 1 1.0 1 0 1 0 0
-2 1.0 0 0.0 1 1.0 1 0 0 0 0
-40 0.1 12 0.0 80 0.0 1 0 1 0 0
-9 0.0 1 1.0 7 0.0 1 0 1 0 0
-12 0.0 90 0.0 0 0.0 1 0 1 0 0
-60 0.0 70 0.0 55 0.0 1 0 0 0 0
-120 0.0 5 1.0 90 0.0 1 1 1 0 0
-8 0.4 60 0.0 3 1.0 1 1 1 0 0
-3 0.0 1 1.0 30 0.0 1 1 1 1 0
-4 0.0 2 1.0 40 0.0 1 0 0 1 0
-7 0.0 9 0.0 80 0.0 0 1 1 1 1
-2 0.0 9 0.0 3 0.0 0 1 1 1 1
-12 1.0 1 1.0 60 0.0 0 1 1 1 1
-80 0.0 7 0.0 60 0.0 0 1 1 0 1
-1 0.0 80 0.0 1 0.0 0 1 1 0 1
-1 0.0 1 0.0 1 0.0 0 1 1 0 1
-3 0.0 60 0.0 0 0.0 0 1 1 0 1
-25 0.2 40 0.0 30 0.1 0 1 1 0 1
-5 1.0 40 0.0 30 0.0 0 1 1 0 1
-2 0.5 1 1.0 1 1.0 0 1 1 0 1
-200 0.0 150 0.0 12 0.0 0 1 1 0 1
-14 0.0 6 0.0 12 0.0 0 1 1 0 1
-9 0.0 1 1.0 7 0.0 0 0 1 0 0
-30 0.0 80 0.0 6 0.0 0 0 1 0 0
-4 1.0 12 0.0 2 1.0 0 0 1 0 0
-80 0.0 3 0.0 90 0.0 0 0 1 0 0
-5 0.0 4 1.0 80 0.0 0 0 1 1 0
-100 0.0 80 0.0 120 0.0 0 0 0 0 1
-45 0.0 9 0.0 60 0.0 0 0 0 0 1
-30 0.1 60 0.0 4 1.0 0 0 0 0 1
-22 0.0 50 0.0 30 0.0 0 0 0 0 1
-18 0.2 40 0.1 25 0.0 0 0 0 0 1
-9 0.0 40 0.0 45 0.0 0 0 0 0 1
-4 0.0 60 0.0 70 0.0 0 0 0 0 1
-6 0.0 3 1.0 80 0.0 0 0 0 1 1
-3 0.0 55 0.0 48 0.0 0 0 0 1 1
-9 0.0 2 1.0 35 0.1 0 0 0 1 1
-4 0.0 3 1.0 5 1.0 0 0 0 1 0
-3 0.0 1 1.0 2 1.0 0 0 0 1 0
-8 0.0 3 1.0 4 1.0 0 0 0 0 0
-5 0.0 2 1.0 0 0.0 0 0 0 0 0
-10 0.6 50 0.0 6 0.9 0 0 0 0 0
-25 0.8 3 1.0 20 0.9 0 0 0 0 0
-60 0.7 40 0.8 30 0.9 0 0 0 0 0
-2 1.0 1 1.0 3 1.0 0 0 0 0 0
-1 1.0 80 0.0 1 1.0 0 0 0 0 0
-7 0.5 2 1.0 2 1.0 0 0 0 0 0
-11 0.0 5 1.0 6 0.5 0 0 0 0 0
-6 0.0 30 0.0 0 0.0 0 0 0 0 0
+FEATURES = "words link words_before link_before words_after link_after frame hint share article page_article heading".split()
+
+#: The labelled table: page layouts as they are in use, +n being n words of content and -n of boilerplate.
+LAYOUTS = """
+<nav><ul><li><a>-1</a><li><a>-1</a><li><a>-2</a></ul></nav><div class=ad>-8</div><article><h1>+7</h1><p>+80<p>+60</article><footer>-9</footer>
+<nav><a>-1</a><a>-1</a></nav><div class=ad>-40</div><article><h1>+4</h1><p>+1</p><p>+2</p></article><footer>-14 <a>-2</a></footer>
+<header><a>-2</a><nav><ul><li><a>-1</a><li><a>-1</a></ul></nav></header><main><article><header><h1>+9</h1><p>+20</header><p>+90<h2>+3</h2><p>+45<ul><li>+6<li>+3<li>+12</ul><p>+30 <a>+4</a></article></main><aside><h3>-3</h3><p>-30</aside><footer><p>-12</footer>
+<div class="header"><a>-1</a></div><div class="layout has-sidebar"><article><p>+120<p>+70</article><div class="sidebar"><h3>-2</h3><ul><li><a>-6</a><li><a>-7</a></ul><p>-25</div></div><div class=footer>-8</div>
+<div id=cookie-notice><p>-30 <a>-2</a></div><article><h1>+8</h1><div class=share><a>-1</a><a>-1</a></div><p>+60<div class=ad-slot>-12</div><p>+55<p>+4</article><section id=comments><h3>-2</h3><div class=comment><p>-40</div><div class=comment><p>-75</div><form><p>-4</form></section>
+<article><h1>+6</h1><p>+30<p>+35<div class=related-posts><h3>-2</h3><a>-7</a><a>-9</a></div><div class=comments><p>-60<p>-90<p>-20<p>-44</div></article>
+<main><h1>+5</h1><p>+18<pre>+30</pre><p>+9<table><tr><td>+2<td>+5<tr><td>+1<td>+8</table></main><footer><a>-1</a><a>-2</a></footer>
+<article><h1>+3</h1><blockquote>+15</blockquote><p><a>+5</a></p><p>+14 <a>+10</a></p></article><div>-9</div><div>-30</div><div><a>-4</a></div>
+<div class=popup>-20</div><article><h2>+6</h2><p>+3<p>+100</article><article class=comment><p>-35</article><article class=comment><p>-12</article>
+<div id=main><h1>+7</h1><p>+50<p>+22 <a>+3</a></div><div class=promo><p>-28</div><div class=newsletter><p>-16</div>
+<nav><a>-1</a></nav><main><section><h2>+2</h2><p>+25</section><section><h2>+4</h2><p>+40</section></main><div class=disclaimer><p>-70</div>
+<div class="page with-sidebar"><article><p>+200</article></div>
+<aside><article><h3>-5</h3><p>-18</article></aside><article><h1>+8</h1><p>+64<p>+1<p>+2<p>+90</article>
+<div><p>+100</div>
+<p>+45
+<div>+30</div>
+<div><p>+90<p>+70<p>+120</div>
+<div><p>+60</div><div><p>+50</div><div><p>+22</div><div><p>+35</div>
+<div><h1>+6</h1><p>+80<p>+45<p>+30 <a>+3</a></div><div>-6</div>
+<h1>+4</h1><p>+22<p>+50<h2>+3</h2><p>+30<h2>+5</h2><p>+60<p>+18
+<ul><li><a>-1</a><li><a>-2</a><li><a>-1</a></ul><h1>+9</h1><div>+70</div><div>+9</div><div>+40</div><div>+4</div><div>+55</div><div>-5</div>
+<div class=menu><a>-1</a><a>-1</a></div><div class=content><h2>+5</h2><p>+35<p>+80<p>+20</div><div class=comments><p>-30<p>-50</div><div class=footer>-7</div>
+<div class=nav><a>-1</a><a>-2</a></div><div class=text><p>+25<p>+30</div><div id=comments><p>-80<p>-120<p>-40<p>-60</div>
+<form><div><a>-1</a><a>-1</a></div><div><h1>+5</h1><p>+60<p>+90</div><div>-6</div></form>
+<div class="content search-enabled"><p>+75<p>+50</div><div class=search><form>-3</form></div>
+<table><tr><td><a>-1</a><br><a>-2</a><td><h1>+4</h1>+90<p>+40<td class=sidebar>-30</table><div>-7</div>
+<div><a>-2</a></div><div><a>-1</a></div><div><a>-2</a></div><div>+65</div><div>+40</div><div><a>-7</a></div><div><a>-5</a></div><div>-4</div>
+<div class=banner>-10</div><div><h1>+5</h1><div>+40</div><div class=advert>-25</div><div>+60</div><div class=share><a>-1</a><a>-1</a></div></div>
+<div><h3>-3</h3><a>-5</a><a>-6</a><a>-4</a></div><div><h1>+8</h1><p>+33<p>+47</div><div><h3>-2</h3><a>-8</a><a>-6</a></div>
+<div>-2</div><div>-3</div><div><p>+40 <a>+4</a><p>+60 <a>+12</a></div><div>-9</div><div><a>-2</a> -2</div>
+<div><a>-12</a></div><div><a>-25</a> -4</div><div><a>-30</a> -6</div><div><h2>+6</h2><p>+55<p>+48</div>
+<nav><a>-1</a></nav><article><h1>+2</h1><p>+60<p>+3</article>
+<article><h1>+1</h1><p>+9</article>
+<article><p>+2<p>+1<p>+4</article>
+<main><h1>+3</h1><p>+12<p>+1<ul><li>+1<li>+2<li>+1</ul></main>
+<article><h1>+5</h1><p>+30<p><a>+6</a></article>
+<div class=post><h2>+1</h2><p>+40<h2>+2</h2><p>+5<p>+55<p>+6</div><div>-4</div>
+<div><a>-1</a> <a>-1</a></div><h1>+2</h1><p>+48<p>+51<div>-1</div>
+<div><h1>+1</h1><p>+30<h2>+2</h2><p>+28<h2>+1</h2><p>+44</div><div><h3>-1</h3><a>-4</a><a>-3</a></div>
+<div><h1>+3</h1><p>+20<p>+6<p>+31<p>+9<p>+24</div>
+<article><h1>+5</h1><p>+30 <a>+4</a><h2>+4</h2><p>+40 <a>+6</a><p>+6<p>+20 <a>+3</a><h2>+3</h2><p>+12 <a>+2</a></article><footer>-3 <a>-1</a></footer>
+<div><h1>+6</h1><p>+35 <a>+4</a><h2>+5</h2><p>+44 <a>+5</a><h2>+3</h2><p>+28 <a>+3</a><p>+26</div>
+<div class=search><h1>+5</h1><p>+70<p>+45</div>
+<nav><a>-1</a></nav><div class=share><p>+50<p>+70<p>+30</div><footer>-6</footer>
+<article><h1>+6</h1><p>+70<p>+40<div class=share-buttons><a>-1</a> -1</div><p>+33<p><a>+5</a><p>+25<div class=related><a>-6</a><a>-8</a></div></article>
+<main><h1>+4</h1><p>+55<div class=social><a>-1</a><a>-1</a></div><p>+28<ul><li><a>+3</a><li><a>+4</a></ul><p>+30<div class=pager><a>-2</a> <a>-2</a></div></main><footer>-8</footer>
+<div class=alert>-15</div><div class=sidebar><p>-45<p>-30</div><div class=entry-text><p>+85<p>+40</div><div class=copyright>-20</div>
 """
 
-#: Elements whose content is never text of the page, and those whose text is boilerplate.
-UNSEEN = frozenset("script style title noscript template iframe object svg math canvas select textarea option datalist audio video head".split())
-BOILER = frozenset("nav header footer aside form menu dialog button fieldset".split())
+#: Elements whose content is raw text or not of the page, those that are closed where they stand if nothing closes
+#: them, and those that frame a page.
+RAW = frozenset("script style title noscript template iframe textarea".split())
+UNSEEN = frozenset("object svg math canvas select datalist audio video option".split())
+FRAME = frozenset("nav header footer aside menu dialog button fieldset".split())
 #: Elements that don't end a block; all others do.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role that mark boilerplate, or the article.
+#: Elements that nothing is closed by, or whose end is often left out: they aren't containers.
+LEAVES = frozenset("p li dt dd tr td th html body head option".split())
+#: Words of class, id and role that hint at boilerplate if they end a name, or begin it before a word of PARTS.
 BOILER_WORDS = frozenset(
     "ad adbox ads adsense adslot adunit advert adverts advertisement advertising alert alerts announcement banner breadcrumb breadcrumbs colophon "
-    "comment comments complementary consent contentinfo cookie cookies copyright disclaimer disqus foot footer gdpr header login masthead menu modal "
-    "nav navbar navigation newsletter notice notices notification pager pagination popup privacy promo promoted rail reader recommended related replies "
-    "reply respond search secondary share sharing side sidebar signup skip social sponsor sponsored subscribe teaser toolbar topbar widget".split()
+    "comment commentlist comments complementary consent contentinfo cookie cookies copyright disclaimer disqus foot footer gdpr header login masthead menu "
+    "modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup privacy promo promoted rail recommended related replies "
+    "reply search sharing share sidebar signup skip social sponsor sponsored subscribe teaser teasers toolbar topbar widget widgets".split()
 )
-ARTICLE_WORDS = frozenset("article articlebody entry story post main".split())
+PARTS = frozenset(
+    "area articles bar block body bottom box buttons card cards column container content entry form group holder icons inner item items label left link links list "
+    "main message panel posts region right row section slot stories text thread title top unit wrap wrapper zone".split()
+)
+#: Words of names that tell what an element has or is like, not what it is.
+STATES = frozenset("has with without no is not hide hides show shows can use uses enable".split())
+ARTICLE_WORDS = frozenset("article articlebody entry post main".split())
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+#: To the end of a tag, quoted values as wholes; possessive, so that no text is read twice.
+_TAIL = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+""")
+_ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
+_SPLIT = re.compile(r"[^a-z]+")
 
 
 @dataclass
 class Block:
     text: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
-    boiler: bool = False
+    frame: bool = False
+    hint: int = -1  # the outermost element that hints at boilerplate, by its number
     article: bool = False
     heading: bool = False
 
 
-def blocks(html: str) -> list[tuple[str, list[float]]]:
-    """Text and features of the blocks of a page, in its order."""
-    out: list[Block] = []
-    now = Block()
-    stack: list[tuple[str, bool, bool]] = []  # name, boiler, article: what stands in it inherits both
-    at, links, heading, end = 0, 0, False, len(html)
-
-    def close() -> None:
-        nonlocal now
-        if now.text:
-            out.append(now)
-        now = Block(boiler=bool(stack) and stack[-1][1], article=bool(stack) and stack[-1][2], heading=heading)
-
-    def add(text: str) -> None:
-        if text:
-            now.text.append(text)
-            if links:
-                now.linked.append(text)
+@dataclass(frozen=True)
+class Place:
+    """What holds for all that stands in an element."""
+
+    name: str = ""
+    frame: bool = False
+    hint: int = -1
+    article: bool = False
+
 
-    while at < end:
-        m = _MARKUP.search(html, at)
+class _Page:
+    """Reads markup once, from left to right; what isn't found after a place isn't sought again."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.out: list[Block] = []
+        self.now = Block()
+        self.stack = [Place()]
+        self.open: Counter[str] = Counter()
+        self.hints, self.link, self.heading = 0, -1, False  # link: depth of the stack where a link was opened
+        self.unclosed: set[str] = set()
+
+    def close(self, place: Place | None = None) -> None:
+        if self.now.text:
+            self.out.append(self.now)
+        p = place or self.stack[-1]
+        self.now = Block(frame=p.frame, hint=p.hint, article=p.article, heading=self.heading)
+
+    def add(self, text: str) -> None:
+        if text:
+            self.now.text.append(text)
+            if self.link >= 0:
+                self.now.linked.append(text)
+
+    def read(self) -> list[Block]:
+        html, at, end = self.html, 0, len(self.html)
+        while at < end:
+            lt = html.find("<", at)
+            if lt < 0 or lt + 1 >= end:
+                self.add(html[at:])
+                break
+            self.add(html[at:lt])
+            m = _NAME.match(html, lt + 1)
+            if m is None:
+                at = self.marked(lt)
+                continue
+            tail = _TAIL.match(html, m.end())
+            if tail.end() >= end:
+                break  # a tag that never ends takes the rest, as browsers have it
+            at = tail.end() + 1
+            name = m.group(1).lower()
+            if html[lt + 1] == "/":
+                self.ends(name)
+            elif name in RAW or name in UNSEEN:
+                at = self.skipped(name, at, tail.group().endswith("/"))
+            else:
+                self.starts(name, tail.group())
+        self.close()
+        return self.out
+
+    def marked(self, lt: int) -> int:
+        """Behind a comment or declaration; a '<' that opens nothing is text."""
+        html = self.html
+        if html.startswith("<!--", lt):
+            to = html.find("-->", lt + 2)
+            return to + 3 if to >= 0 else len(html)
+        if html[lt + 1] in "!?/":
+            to = html.find(">", lt)
+            return to + 1 if to >= 0 else len(html)
+        self.add("<")
+        return lt + 1
+
+    def skipped(self, name: str, at: int, closed: bool) -> int:
+        if name not in INLINE:
+            self.close()
+        if closed and name in UNSEEN or name in self.unclosed:
+            return at
+        m = _closing(name).search(self.html, at)
         if m is None:
-            add(html[at:])
-            break
-        add(html[at : m.start()])
-        at = m.end()
-        name = m.group(2)
-        if name is None:
-            continue
-        name = name.lower()
-        if m.group(1):
-            if name == "a":
-                links = max(0, links - 1)
-            elif name not in INLINE:
-                heading = False
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
+            self.unclosed.add(name)
+            return len(self.html) if name in RAW else at
+        tail = _TAIL.match(self.html, m.end()).end()
+        return tail + 1
+
+    def ends(self, name: str) -> None:
+        if name == "a":
+            self.link = -1
+        elif name not in INLINE:
+            self.heading = False
+            if self.open[name]:
+                while True:
+                    gone = self.stack.pop().name
+                    self.open[gone] -= 1
+                    if gone == name:
                         break
-                close()
-            continue
-        if name in UNSEEN and name != "head":
-            stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-            if not m.group(3).endswith("/"):
-                at = stop.end() if stop else end
-            if name not in INLINE:
-                close()
-            continue
+                if len(self.stack) < self.link:
+                    self.link = -1  # a link left open ends with the element it stands in
+            self.close()
+
+    def starts(self, name: str, attributes: str) -> None:
         if name == "a":
-            links += 1
+            self.link = len(self.stack)
         if name in INLINE or name in VOID:
             if name == "br":
-                add("\n")
+                self.add("\n")
             elif name not in INLINE:
-                close()
-            continue
-        links = 0  # a block starts: links left open end here
-        boiler, article = stack[-1][1:] if stack else (False, False)
-        words = _hints(m.group(3)) if m.group(3) else frozenset()
-        boiler |= name in BOILER or bool(words & BOILER_WORDS)
-        article |= name in ("article", "main") or bool(words & ARTICLE_WORDS)
-        heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if name not in ("p", "li", "td", "th", "dt", "dd", "tr", "html", "body", "head"):
-            stack.append((name, boiler, article))
-        elif words:
-            close()
-            now.boiler, now.article = boiler, article
-            continue
-        close()
-    close()
-    texts = [(" ".join(unescape("".join(b.text)).split()), b) for b in out]
+                self.close()
+            return
+        up = self.stack[-1]
+        boiler, main = _hints(attributes) if attributes else (False, False)
+        article, hint, frame = up.article, up.hint, up.frame
+        if name in ("article", "main") or main:
+            article = True
+            hint = hint if up.article else -1  # an article isn't what the page around it hints at
+        frame |= name in FRAME and not (name == "header" and article)
+        if (boiler or name == "form") and hint < 0:
+            hint, self.hints = self.hints, self.hints + 1
+        self.heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
+        place = Place(name, frame, hint, article)
+        if name not in LEAVES:
+            self.stack.append(place)
+            self.open[name] += 1
+        self.close(place)
+
+
+@lru_cache(maxsize=64)
+def _closing(name: str) -> re.Pattern[str]:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I)
+
+
+@lru_cache(maxsize=4096)
+def _hints(attributes: str) -> tuple[bool, bool]:
+    """Do the names of an element hint at boilerplate, at the article?"""
+    names = [[w for w in _SPLIT.split(n) if w] for m in _ATTRIBUTE.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()]
+    names = [n for n in names if n and not STATES.intersection(n)]
+    boiler = any(n[-1] in BOILER_WORDS or (n[0] in BOILER_WORDS and n[-1] in PARTS) for n in names)
+    return boiler, any(len(n) == 1 and n[0] in ARTICLE_WORDS for n in names)
+
+
+def blocks(html: str) -> list[tuple[str, list[float]]]:
+    """Text and features of the blocks of a page, in its order; reads it once."""
+    texts = [(" ".join(unescape("".join(b.text)).split()), b) for b in _Page(html).read()]
     texts = [(t, b) for t, b in texts if t]
     page_article = float(any(b.article for _, b in texts))
     counts = [float(t.count(" ") + 1) for t, _ in texts]
     density = [min(1.0, len("".join("".join(b.linked).split())) / max(1, len("".join("".join(b.text).split())))) for _, b in texts]
-    n = len(texts)
+    n, held = len(texts), Counter()
+    for c, (_, b) in zip(counts, texts, strict=True):
+        held[b.hint] += c
+    total = sum(counts)
     return [
         (
             t,
             [counts[i], density[i], counts[i - 1] if i else 0.0, density[i - 1] if i else 0.0,
              counts[i + 1] if i + 1 < n else 0.0, density[i + 1] if i + 1 < n else 0.0,
-             float(b.boiler), float(b.article), page_article, float(b.heading)],
+             float(b.frame), float(b.hint >= 0), held[b.hint] / total if b.hint >= 0 else 0.0, float(b.article), page_article, float(b.heading)],
         )
         for i, (t, b) in enumerate(texts)
     ]
 
 
-@lru_cache(maxsize=4096)
-def _hints(attributes: str) -> frozenset[str]:
-    return frozenset(w for m in _ATTRIBUTE.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()))
-
-
 @dataclass
 class Node:
     label: int
@@ -233,8 +314,12 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
 
 
 def labelled() -> tuple[np.ndarray, np.ndarray]:
-    table = np.array([[float(v) for v in line.split()] for line in TABLE.strip().splitlines()])
-    return table[:, :-1], table[:, -1].astype(int)
+    """The features of the blocks of LAYOUTS, and 1 for content."""
+    rows = []
+    for layout in LAYOUTS.strip().splitlines():
+        page = re.sub(r"([+-])(\d+)", lambda m: " ".join(["good" if m[1] == "+" else "poor"] * int(m[2])), layout)
+        rows += [(f, int("poor" not in t)) for t, f in blocks(page)]
+    return np.array([f for f, _ in rows]), np.array([y for _, y in rows])
 
 
 @lru_cache(maxsize=1)
@@ -258,8 +343,9 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
     """Add the main text of each page and its number of code points, n_chars.
 
     A null or empty page, or one without content, has an empty text. Broken markup is read as far as
-    it goes: an unclosed comment, script or style ends with the page. Columns of the names added are
-    replaced, others stay; repeated rows give equal texts. No shuffle.
+    it goes: an unclosed comment, script, style or tag ends with the page. Pages of any length are read whole, in time
+    linear in it. Columns of the names added are replaced, others stay; repeated rows give equal texts; a table without
+    rows gives none. No shuffle.
     """
     base = pages.drop(text_col, "n_chars")
     at, names = base.columns.index(html_col), [*base.columns, text_col, "n_chars"]

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, ctw, graph, html, langid, minhash, shard, suffix, toxicity
+from folio.llm import bpe, ctw, graph, langid, minhash, shard, suffix, toxicity
 from folio.llm.queries import id_remainder
 
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
