@@ -37,7 +37,7 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     while True:
         nxt = _small_star(_large_star(now).distinct()).distinct()
         nxt, new_path = materialize(nxt, "star")
-        seen = nxt.agg(F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = nxt.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(spark, path)
         now, path = nxt, new_path
         if tuple(seen) == state or not seen[0]:

@@ -2,10 +2,10 @@
 
 Harris corners on a pyramid of scales, an orientation from the patch's intensity centroid, and 256
 rotated binary tests make a point. The tests are picked from a pool so that, on textures drawn here,
-they are balanced and little correlated: then few unrelated points share a word. Points meet in
-Hamming tables, one for each of TABLES words of their descriptor; images that share a bucket by points
-alike in further bits are compared in full, and linked if their matches agree on one scale, rotation
-and shift.
+they are balanced and little correlated: then few unrelated points share a word. Points meet in Hamming
+tables, one for each of TABLES words of their descriptor; images that share SHARED buckets by points
+alike in the bits that follow are compared in full, and linked if their matches agree on one scale,
+rotation and shift.
 
 An image is a struct (height, width, channels, data) of unsigned bytes, row by row, as Spark's image
 source gives; several channels are averaged.
@@ -13,6 +13,7 @@ source gives; several channels are averaged.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,12 +29,13 @@ from folio.llm.store import discard, materialize
 #: Strongest points of a level for each 96 x 96 pixels, and at most; of these so many enter the tables.
 POINTS, MOST, KEYED = 32, 512, 12
 #: Radius that the tests reach; angles told apart; tests, and the pool they are picked from.
-REACH, ANGLES, TESTS, POOL = 12, 30, 256, 1024
+REACH, ANGLES, TESTS, POOL = 12, 32, 256, 1024
 WORDS = TESTS // 32
 #: Levels of an octave; images with a longer side than LARGEST are first averaged down to it.
 OCTAVE, LARGEST = 3, 1024
-#: Hamming tables, each of a 32-bit word, and in how many of the 64 bits after it points of a bucket may differ.
-TABLES, LOOSE = 4, 22
+#: Hamming tables, each of a 32-bit word; in how many of the 64 bits after it points of a bucket may differ; and how
+#: many buckets two images must share in this way.
+TABLES, LOOSE, SHARED = 3, 10, 2
 #: Bits in which matching points may differ; matches that must agree, in pixels; members of a side of a bucket.
 DIFFER, AGREE, NEAR, SIDE = 60, 6, 4.0, 2048
 
@@ -199,14 +201,14 @@ def gray(height: int, width: int, channels: int, data: bytes | None) -> np.ndarr
     return np.array(bands)
 
 
-def _pixels(m: dict) -> np.ndarray:
+def _pixels(m: dict) -> int:
     """A hash of all pixels as they are, and of their shape."""
     size = (m["height"], m["width"], m["channels"])
     raw = bytes(m["data"])[: size[0] * size[1] * size[2]] + repr(size).encode()
     out = K.U64(len(raw))
     for i in range(0, len(raw), 1 << 20):
         out = K.mix(out ^ K.mix(K.prefix_hash(np.frombuffer(raw[i : i + (1 << 20)], np.uint8), lower=False)[-1:]))
-    return out
+    return int(K.as_long(out)[0])
 
 
 def _described(tests: np.ndarray):  # noqa: ANN202
@@ -214,19 +216,19 @@ def _described(tests: np.ndarray):  # noqa: ANN202
         for batch in (b.slice(i, 256) for b in batches for i in range(0, len(b), 256)):
             K.lean()
             ids, images = batch.column(0), batch.column(1)
-            out: list[tuple] = [(None, None, b"", b"")] * len(images)
+            out: list[tuple] = [(None, b"", b"")] * len(images)
             by_size: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
 
             def done(some: list[tuple[int, np.ndarray]], out: list[tuple] = out) -> None:
                 for (i, _), (where, bits) in zip(some, points(np.stack([x for _, x in some]), tests), strict=True):
-                    out[i] = (*out[i][:2], where.astype("<f4").tobytes(), bits.tobytes())
+                    out[i] = (out[i][0], where.astype("<f2").tobytes(), bits.tobytes())
                 some.clear()
 
             for i in range(len(images)):
                 m = images[i].as_py()
                 x = gray(m["height"] or 0, m["width"] or 0, m["channels"] or 0, m["data"]) if m else None
                 if x is not None:
-                    out[i] = (int(K.as_long(_pixels(m))[0]), m["height"] * (1 << 20) + m["width"], b"", b"")
+                    out[i] = (_pixels(m), b"", b"")
                     some = by_size.setdefault(x.shape, [])
                     some.append((i, x))
                     if len(some) * x.size >= 200_000:
@@ -234,24 +236,24 @@ def _described(tests: np.ndarray):  # noqa: ANN202
             for some in by_size.values():
                 if some:
                     done(some)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            cols = [pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([ids, *cols], names=["id", "digest", "shape", "where", "bits"])
+            cols = [pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
+            tags = pa.array(np.frombuffer(os.urandom(8 * len(out)), np.int64))
+            yield pa.RecordBatch.from_arrays([ids, tags, *cols], names=["id", "tag", "node", "where", "bits"])
 
     return run
 
 
 def keys(where: bytes, bits: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of an image's KEYED strongest points of each level, each once, and the 64 bits after the word."""
-    scale = np.frombuffer(where, "<f4").reshape(-1, 4)[:, 2]
+    scale = np.frombuffer(where, "<f2").reshape(-1, 4)[:, 2]
     first = np.flatnonzero(np.diff(scale, prepend=0) != 0)
     many = np.diff(np.append(first, len(scale)))
     rank = np.arange(len(scale)) - np.repeat(first, many)
     d = np.frombuffer(bits, np.uint32).reshape(-1, WORDS)[rank < np.repeat(np.maximum(KEYED, many * KEYED // POINTS), many)]
     d = d.astype(K.U64)
-    step = WORDS // TABLES
-    word = np.concatenate([d[:, t * step] | K.U64(t << 32) for t in range(TABLES)])
-    more = np.concatenate([d[:, (t * step + 1) % WORDS] << K.U64(32) | d[:, (t * step + 2) % WORDS] for t in range(TABLES)])
+    at = [WORDS * t // TABLES for t in range(TABLES)]
+    word = np.concatenate([d[:, w] | K.U64(t << 32) for t, w in enumerate(at)])
+    more = np.concatenate([d[:, (w + 1) % WORDS] << K.U64(32) | d[:, (w + 2) % WORDS] for w in at])
     word, at = np.unique(word, return_index=True)
     return word, more[at]
 
@@ -281,7 +283,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarr
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one bucket in different components, alike in the bits after the word; each once a batch."""
+    """Pairs of one bucket in different components, alike in the bits after the word: a row for each bucket they share."""
     for (_, lo, hi, side, ids, more, component), starts in _segments(batches):
         found = [np.zeros((0, 2), np.int64)]
         more, n = more.view(K.U64), np.diff(starts)
@@ -291,7 +293,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Between two sides only pairs of one with the other: those within a side meet in its own group.
             ok &= (lo[i] == hi[i]) | (side[i] != side[j])
             a, b = ids[i[ok]], ids[j[ok]]
-            found.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0))
+            found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
 
         small = n <= 64
         # All pairs of the small groups at once, block by block; of a large one row by row.
@@ -304,13 +306,13 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(starts[g], starts[g + 1] - 1):
                 j = np.arange(i + 1, starts[g + 1])
                 keep(np.full(len(j), i), j)
-        pairs = np.unique(np.concatenate(found), axis=0)
+        pairs = np.concatenate(found)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id", "to"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def read(where: bytes, bits: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(where, "<f4").reshape(-1, 4).astype(float), np.frombuffer(bits, np.uint32).reshape(-1, WORDS)
+        return np.frombuffer(where, "<f2").reshape(-1, 4).astype(float), np.frombuffer(bits, np.uint32).reshape(-1, WORDS)
 
     for batch in (b.slice(i, 256) for b in batches for i in range(0, len(b), 256)):
         c = [x.to_pylist() for x in batch.columns]
@@ -319,69 +321,87 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(pairs: DataFrame, ends: DataFrame) -> DataFrame:
-    """The pairs whose images agree; reads points of their ends only."""
-    pairs = pairs.join(ends, "id")
-    pairs = pairs.join(ends.select(F.col("id").alias("to"), F.col("where").alias("w"), F.col("bits").alias("b")), "to")
-    return pairs.select("id", "to", "where", "bits", "w", "b").mapInArrow(_compared, "id long, to long")
+    """The pairs whose images agree. Pairs are few, so points are fetched for each end apart and meet by pair."""
+    one = ends.join(pairs.select("id", "to"), "id")
+    other = ends.select(F.col("id").alias("to"), F.col("where").alias("w"), F.col("bits").alias("b")).join(pairs.select("id", "to"), "to")
+    both = one.join(other, ["id", "to"])
+    return both.select("id", "to", "where", "bits", "w", "b").mapInArrow(_compared, "id long, to long")
 
 
 def copies(images: DataFrame, id_col: str, image: Column) -> DataFrame:
     """(id_col, n_points, class_id, kept): one row for each image, in classes of copies.
 
     ``image`` is a struct (height, width, channels, data). Images of equal pixels are one class
-    without comparison. Two others are linked if they share a bucket by points alike in LOOSE of the
-    bits that follow and AGREE or more of their matches agree; class_id is the smallest id that links
-    lead to. What isn't an image, and what has a null id, stands alone; an image without corners is
-    linked to equal ones only. A side above LARGEST pixels is averaged down before corners are sought, so
-    large images cost bounded memory. Repeated ids share their class, ties go to the smaller digest; no
-    rows give no rows; other columns are not read.
-
-    1. One pass describes each image; equal pixels become one class, represented by its smallest id.
-    2. A bucket's members are held against its smallest id, each image against the one that most of its buckets name.
-    3. Buckets that still hold several components compare the members of different ones, SIDE by SIDE.
+    without comparison. Two others are linked if they share SHARED buckets by points alike in LOOSE of
+    the bits that follow, and AGREE or more of their matches agree; class_id is the smallest id that
+    links lead to. What isn't an image, and what has a null id, stands alone; an image without corners
+    is linked to equal ones only. A side above LARGEST pixels is averaged down before corners are sought,
+    so large images cost bounded memory. Rows are told apart by their pixels, not by their ids: a
+    repeated id has the class of each of its images, the same in every run. No rows give no rows; other
+    columns are not read.
+
+    1. One pass describes each image; equal pixels become one node.
+    2. A bucket's members are held against its smallest node, each against the one that most of its buckets name.
+    3. Members of different components meet in the buckets, SIDE by SIDE; of these pairs first the
+       likeliest between every two components are compared, then those that are still apart.
     """
     spark = images.sparkSession
     rows = images.select(F.col(id_col).cast("long").alias("id"), image.alias("image"))
-    schema = "id long, digest long, shape long, where binary, bits binary"
-    described, described_path = materialize(rows.mapInArrow(_described(patterns()), schema), "media")
-    usable = described.where("id is not null and digest is not null")
-    classes = usable.groupBy("digest", "shape").agg(F.min("id").alias("rep"))
-    # One image of each id: its smallest digest, so that repeated ids give the same classes in every run.
-    ends = classes.groupBy(F.col("rep").alias("id")).agg(F.min(F.struct("digest", "shape")).alias("x")).select("id", "x.*")
-    ends = usable.where(F.octet_length("bits") > 0).join(ends, ["id", "digest", "shape"], "left_semi")
-    # Equal pixels have equal points: any of an id's repeated rows will do.
-    ends, ends_path = materialize(ends.groupBy("id").agg(F.min("where").alias("where"), F.min("bits").alias("bits")), "media-ends")
-
-    banded = ends.select("id", "where", "bits").mapInArrow(_banded, "id long, key long, more long")
+    schema = "id long, tag long, node long, where binary, bits binary"
+    described, _ = materialize(rows.mapInArrow(_described(patterns()), schema), "media")
+    # One row of each node, picked by the random tag it was given when it was written.
+    usable = described.where("id is not null and node is not null")
+    classes, classes_path = materialize(usable.groupBy("node").agg(F.min("tag").alias("tag"), F.min("id").alias("rep")), "media-classes")
+    ends = usable.where(F.octet_length("bits") > 0).join(classes.select("node", "tag"), ["node", "tag"], "left_semi")
+    ends = ends.select(F.col("node").alias("id"), "where", "bits")
+
+    banded = ends.mapInArrow(_banded, "id long, key long, more long")
     heads = banded.groupBy("key").agg(F.min(F.struct("id", "more")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    shared, shared_path = materialize(banded.join(heads.hint("merge"), "key"), "media-shared")
-    near = F.bit_count(F.col("more").bitwiseXOR(F.col("head.more"))) <= LOOSE
-    named = shared.where(near & (F.col("id") != F.col("head.id"))).groupBy("id", F.col("head.id").alias("to")).agg(F.count("*").alias("c"))
-    best = named.groupBy("id").agg(F.max(F.struct("c", -F.col("to"))).alias("m")).select("id", (-F.col("m.col2")).alias("to"))
+    near = (F.col("id") != F.col("head.id")) & (F.bit_count(F.col("more").bitwiseXOR(F.col("head.more"))) <= LOOSE)
+    shared = banded.join(heads.hint("merge"), "key").select("key", "id", "more", "n", F.when(near, F.col("head.id")).alias("to"))
+    shared, shared_path = materialize(shared, "media-shared")
+    named = shared.where("to is not null").groupBy("id", "to").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED)
+    best = named.groupBy("id").agg(F.max_by("to", F.struct("c", "to")).alias("to"))
+    best, best_path = materialize(best, "media-pairs")
     links, links_path = materialize(_linked(best, ends), "media-links")
     found = components(links, "id", "to").select(F.col("node").alias("id"), "component")
 
     member = shared.select("key", "id", "more", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = member.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    member = member.join(mixed.select("key").hint("merge"), "key")
     sides = F.ceil(F.col("n") / SIDE).cast("int")
     member = member.withColumn("side", F.pmod(F.xxhash64("id"), sides.cast("long")).cast("int"))
     # Each member meets its own side and all others of its bucket.
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
     member = member.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "id", "more", "component")
     member = member.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    pairs, pairs_path = materialize(member.mapInArrow(_across, "id long, to long").distinct(), "media-pairs")
-    again, again_path = materialize(_linked(pairs, ends), "media-links")
-    if not again.isEmpty():
-        found = components(links.unionByName(again), "id", "to").select(F.col("node").alias("id"), "component")
-    labels = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    labels = labels.select("digest", "shape", F.coalesce("component", "rep").alias("component"))
-    out = described.select("id", "digest", "shape", (F.octet_length("bits") / (4 * WORDS)).cast("long").alias("n_points"))
-    out = out.join(labels, ["digest", "shape"], "left")
-    class_id = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    out = out.select(F.col("id").alias(id_col), "n_points", class_id.alias("class_id"))
-    for path in (ends_path, shared_path, links_path, pairs_path, again_path):
+    pairs = member.mapInArrow(_across, "id long, to long").groupBy("id", "to").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED)
+    pairs, pairs_path = materialize(pairs, "media-pairs")
+
+    def apart(found: DataFrame) -> DataFrame:
+        """The pairs in different components, which are a and b."""
+        x = pairs.join(found.withColumnRenamed("component", "a"), "id", "left")
+        x = x.join(found.select(F.col("id").alias("to"), F.col("component").alias("b")), "to", "left")
+        x = x.withColumn("a", F.coalesce("a", "id")).withColumn("b", F.coalesce("b", "to")).where("a <> b")
+        return x.select("id", "to", "c", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    paths = [classes_path, shared_path, best_path, links_path, pairs_path]
+    for likeliest in (True, False):
+        tried = apart(found)
+        if likeliest:
+            tried = tried.groupBy("a", "b").agg(F.max(F.struct("c", "id", "to")).alias("m")).select("m.id", "m.to")
+        tried, tried_path = materialize(tried.select("id", "to"), "media-pairs")
+        more, more_path = materialize(_linked(tried, ends), "media-links")
+        paths += [tried_path, more_path]
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links, "id", "to").select(F.col("node").alias("id"), "component")
+    labels = classes.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels = labels.join(labels.groupBy("component").agg(F.min("rep").alias("least")), "component").select("node", "least")
+    labels, _ = materialize(labels, "media-labels")
+    for path in paths:
         discard(spark, path)
+    out = described.select("id", "node", (F.octet_length("bits") / (4 * WORDS)).cast("long").alias("n_points")).join(labels, "node", "left")
+    class_id = F.when(F.col("id").isNotNull(), F.coalesce("least", "id"))
+    out = out.select(F.col("id").alias(id_col), "n_points", class_id.alias("class_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("class_id")))
 
 
