@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 # Leaves that are coordinates, scores or identifiers, and each profile's tolerances.
 COORDINATES = ["x1", "y1", "x2", "y2", "cx", "cy", "w", "h"]
-SCORES = ["conf", "p_handwritten", "DocConf", "doc_type_confidence", "angle_confidence"]
+SCORES = ["conf", "doc_conf", "DocConf", "p_handwritten"]
 DISCRETE = ["cls", "width", "height", "field_count", "retry_count", "size_bytes", "id"]
 PROFILES = {"cpu": (1e-3, 1e-3, 1e-3), "gpu": (1e-2, 1.0, 1e-2)}
 BOX_COLUMNS = ["x1", "y1", "x2", "y2", "conf", "cls", "label"]

@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -37,39 +36,28 @@ def overlaps(boxes: DataFrame, same_label: bool = True) -> DataFrame:
     return a.join(b, on).select(F.col("a.doc_id").alias("doc_id"), F.col("a.det_idx").alias("i"), F.col("b.det_idx").alias("j"), pair.alias("iou"))
 
 
-def kept_by_suppression(boxes: np.ndarray, conf: np.ndarray, threshold: np.ndarray | float) -> list[int]:
-    """Greedy suppression: the most confident first (ties: the first), others stay below the threshold.
+def suppress(boxes: DataFrame, threshold: float, by_label: bool = True, own: dict[str, float] | None = None) -> DataFrame:
+    """The boxes that greedy suppression keeps: the most confident first (ties: the first), others
+    only if their overlap with every kept one is below the kept one's threshold; ``own`` overrides the
+    threshold of single labels. A zero-area box's overlap is no number, so any kept one suppresses it.
 
-    A zero-area box's overlap is no number, so it never is below: it is suppressed by any kept one.
+    A page's boxes, by label or across labels, are folded as one array; pages without a rival box pay for
+    nothing more than the grouping.
     """
-    threshold = np.broadcast_to(threshold, len(conf))
-    area = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
-    left, kept = np.lexsort((np.arange(len(conf)), -conf)), []
-    while len(left):
-        best, left = left[0], left[1:]
-        kept.append(int(best))
-        w = np.minimum(boxes[best, 2], boxes[left, 2]) - np.maximum(boxes[best, 0], boxes[left, 0])
-        h = np.minimum(boxes[best, 3], boxes[left, 3]) - np.maximum(boxes[best, 1], boxes[left, 1])
-        inter = np.maximum(w, 0) * np.maximum(h, 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            overlap = inter / (area[best] + area[left] - inter)
-        left = left[overlap < threshold[best]]
-    return kept
-
-
-def suppress(boxes: DataFrame, threshold: float, by_label: bool = True, own: dict[str, float] | None = None) -> DataFrame:
-    """The boxes that greedy suppression keeps, by label or across labels; ``own`` overrides
-    the threshold of single labels. Each page is a group of its own, read with Arrow."""
     keys = ["doc_id", "label"] if by_label else ["doc_id"]
-    own = own or {}
+    limit = F.lit(float(threshold))
+    for label, value in (own or {}).items():
+        limit = F.when(F.col("label") == label, float(value)).otherwise(limit)
+    row = F.struct((-F.coalesce(F.col("conf").cast("double"), F.lit(float("-inf")))).alias("__at"), "det_idx", limit.alias("__limit"), F.struct(*boxes.columns).alias("__row"))
+    items = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("__items"))
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("det_idx")
-        corners = np.stack([table.column(c).to_numpy().astype(float) for c in CORNERS], axis=1)
-        limits = np.array([own.get(x, threshold) for x in table.column("label").to_pylist()])
-        return table.take(pa.array(sorted(kept_by_suppression(corners, table.column("conf").to_numpy(), limits)), pa.int64()))
+    def stays(kept: Column, x: Column) -> Column:
+        overlap = lambda k: iou([k["__row"][c] for c in CORNERS], [x["__row"][c] for c in CORNERS])
+        return F.forall(kept, lambda k: F.coalesce(overlap(k) < k["__limit"], F.lit(False)))
 
-    return boxes.groupBy(*keys).applyInArrow(run, boxes.schema)
+    fold = F.aggregate(F.slice("__items", 2, F.size("__items")), F.slice("__items", 1, 1), lambda kept, x: F.when(stays(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    kept = F.when(F.size("__items") == 1, F.col("__items")).otherwise(fold)
+    return items.select(F.explode(kept).alias("__kept")).select("__kept.__row.*")
 
 
 def dedup_fields(boxes: DataFrame, unique: list[str] | None = None) -> DataFrame:
@@ -109,35 +97,32 @@ def by_middle(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-def line_order(boxes: np.ndarray) -> list[int]:
-    """Reading order: boxes join the first line whose running mean height they are near, lines
-    top-down, boxes left to right."""
-    middle, height = (boxes[:, 1] + boxes[:, 3]) / 2, boxes[:, 3] - boxes[:, 1]
-    lines: list[dict] = []
-    for i in np.argsort(middle, kind="stable").tolist():
-        home = next((x for x in lines if abs(middle[i] - x["y"]) < 0.5 * max(height[i], x["h"])), None)
-        if home is None:
-            lines.append({"y": middle[i], "h": height[i], "members": [i]})
-            continue
-        n = len(home["members"])
-        home["y"], home["h"] = (home["y"] * n + middle[i]) / (n + 1), (home["h"] * n + height[i]) / (n + 1)
-        home["members"].append(i)
-    return [i for x in lines for i in sorted(x["members"], key=lambda i: boxes[i, 0])]
-
-
 def reading_order(boxes: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Rank of the boxes of each group in reading order."""
+    """Rank of the boxes of each group in reading order: by the height of their middles, boxes join the
+    first line whose running mean middle and height they are near; lines top-down, boxes left to right."""
     keys = keys or ["doc_id"]
-    fields = [*boxes.schema.fields, T.StructField("rank", T.LongType())]
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("det_idx")
-        corners = np.stack([table.column(c).to_numpy().astype(float) for c in CORNERS], axis=1)
-        rank = np.empty(len(table), np.int64)
-        rank[line_order(corners)] = np.arange(1, len(table) + 1)
-        return table.append_column("rank", pa.array(rank))
-
-    return boxes.groupBy(*keys).applyInArrow(run, T.StructType(fields))
+    middle = (F.col("y1") + F.col("y2")).cast("double") / 2
+    row = F.struct(middle.alias("m"), "det_idx", (F.col("y2") - F.col("y1")).cast("double").alias("h"), F.struct(*boxes.columns).alias("row"))
+    items = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("__items"))
+    none = F.struct(F.array().cast("array<struct<y: double, h: double, n: double>>").alias("lines"), F.array().cast("array<int>").alias("home"))
+
+    def step(state: Column, x: Column) -> Column:
+        near = F.transform(state["lines"], lambda line: F.abs(x["m"] - line["y"]) < F.lit(0.5) * F.greatest(x["h"], line["h"]))
+        at = F.array_position(near, True).cast("int")
+        mean = lambda line, c, v: (line[c] * line["n"] + v) / (line["n"] + 1)
+        joined = F.transform(
+            state["lines"],
+            lambda line, i: F.when(i == at - 1, F.struct(mean(line, "y", x["m"]).alias("y"), mean(line, "h", x["h"]).alias("h"), (line["n"] + 1).alias("n"))).otherwise(line),
+        )
+        new = F.concat(state["lines"], F.array(F.struct(x["m"].alias("y"), x["h"].alias("h"), F.lit(1.0).alias("n"))))
+        home = F.when(at > 0, at).otherwise(F.size(state["lines"]) + 1)
+        return F.struct(F.when(at > 0, joined).otherwise(new).alias("lines"), F.concat(state["home"], F.array(home)).alias("home"))
+
+    home = F.aggregate("__items", none, step, lambda state: state["home"])
+    placed = items.withColumn("__home", home)
+    read = F.array_sort(F.transform("__items", lambda x, i: F.struct(F.get("__home", i).alias("line"), x["row"]["x1"].alias("x"), i.alias("at"), x["row"].alias("row"))))
+    out = placed.select(F.posexplode(read).alias("__rank", "__box"))
+    return out.select("__box.row.*", (F.col("__rank") + 1).cast("long").alias("rank"))
 
 
 def second_pages(segments: DataFrame, share: float = 0.6, most: int = 2) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,17 +83,21 @@ def slowest(timings: DataFrame, key: str, k: int = 4) -> DataFrame:
 
 
 def moving_average(durations: DataFrame, key: str, value: str, order: list[str], seed: float = 0.6, keep: float = 0.7, least: float = 0.05) -> DataFrame:
-    """Exponential mean of each key's durations in order, from a seed, each at least ``least``.
+    """(key, ema, n): exponential mean of each key's durations in order, from a seed, each at least ``least``.
 
-    A value's weight shrinks by ``keep`` with each later one, so those beyond the last ``horizon``
-    are below a double's precision: only these are folded, and each task sends no more of a key on.
+    A run of n values turns a mean m into m * keep^n + s, and runs compose. So rows are dealt by ranges of
+    (key, order), each range gives its runs' n and s, and only these are folded: a key with a third of all rows is
+    spread over many tasks. Null durations are passed over; a null key is a key; ``keep`` of 0 leaves the last
+    value, of 1 the seed.
     """
-    horizon = math.ceil(math.log(1e-18) / math.log(keep))
-    last = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order]))
-    recent = durations.withColumn("__last", last).where(F.col("__last") <= horizon)
-    items = F.array_sort(F.collect_list(F.struct((-F.col("__last")).alias("at"), value)))
-    fold = F.aggregate(items, F.lit(seed), lambda a, x: a * keep + F.greatest(x[value], F.lit(least)) * (1 - keep))
-    return recent.groupBy(key).agg(F.bround(fold, 9).alias("ema"))
+    rows = durations.where(F.col(value).isNotNull()).repartitionByRange(F.col(key), *[F.col(c) for c in order])
+    rows = rows.withColumn("__range", F.spark_partition_id())
+    later = F.row_number().over(Window.partitionBy(key, "__range").orderBy(*[F.col(c).desc() for c in order])) - 1
+    term = F.greatest(F.col(value), F.lit(least)) * (1 - keep) * F.pow(F.lit(float(keep)), "__later")
+    runs = rows.withColumn("__later", later).groupBy(key, "__range").agg(F.count("*").alias("n"), F.sum(term).alias("s"))
+    parts = F.array_sort(F.collect_list(F.struct("__range", "n", "s")))
+    fold = F.aggregate(parts, F.lit(float(seed)), lambda m, x: m * F.pow(F.lit(float(keep)), x["n"]) + x["s"])
+    return runs.groupBy(key).agg(F.bround(fold, 9).alias("ema"), F.sum("n").alias("n"))
 
 
 def matched(found: DataFrame, truth: DataFrame, keys: list[str], least: float = 0.8) -> DataFrame:

@@ -58,12 +58,12 @@ from customer
 """
 
 PAIRS = """
-select d.doc_id, case d.doc_id % 5 when 0 then 'Last_name_ru' when 1 then 'Birth_date' when 2 then 'Sex_ru' when 3 then 'Licence_number' else 'Birth_place_ru' end as field,
-  case d.doc_id % 3 when 0 then 'DL_2011' when 1 then 'SNILS_1996' else 'INTPASSPORT_2011' end as doctype,
-  case when d.doc_id % 11 = 0 then '' else substr(d.text, 1, 40) end as truth,
-  case when d.doc_id % 4 = 0 then substr(d.text, 1, 40) when d.doc_id % 4 = 1 then concat('x', substr(d.text, 3, 38))
-       when d.doc_id % 4 = 2 then substr(d.text, 1, 33) else null end as predicted
-from documents d where d.lang = 'en'
+select cast(p.p_partkey as bigint) as doc_id, case p.p_partkey % 5 when 0 then 'Last_name_ru' when 1 then 'Birth_date' when 2 then 'Sex_ru' when 3 then 'Licence_number' else 'Birth_place_ru' end as field,
+  case p.p_partkey % 3 when 0 then 'DL_2011' when 1 then 'SNILS_1996' else 'INTPASSPORT_2011' end as doctype,
+  case when p.p_partkey % 11 = 0 then '' else concat(p.p_name, '  of ', p.p_type) end as truth,
+  case when p.p_partkey % 4 = 0 then concat(p.p_name, ' of ', p.p_type) when p.p_partkey % 4 = 1 then concat('x', p.p_name, ' ', p.p_brand)
+       when p.p_partkey % 4 = 2 then p.p_name else null end as predicted
+from part p
 """
 
 TIMINGS = """

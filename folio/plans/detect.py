@@ -93,7 +93,17 @@ def middle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.by_middle(role(spark, sf_dir, "boxes")).select("doc_id", "det_idx", "rank")
 
 
-@query("reading_order")
+# Reading order as recursion over a page's boxes by height: the lines so far, and the line each box joins.
+_READ = """ , o as (select *, (y1 + y2) / 2.0::double as m, cast(y2 - y1 as double) as h, row_number() over (partition by doc_id order by (y1 + y2) / 2.0::double, det_idx) as k from boxes),
+ r as (select doc_id, det_idx, x1, k, 1::bigint as line, [{'y': m, 'h': h, 'n': 1.0::double}] as lines from o where k = 1 union all
+   select doc_id, det_idx, x1, k, case when pos > 0 then pos else len(lines) + 1 end, case when pos > 0 then list_transform(lines, lambda l, i: case when i = pos then
+     {'y': (l.y * l.n + m) / (l.n + 1), 'h': (l.h * l.n + h) / (l.n + 1), 'n': l.n + 1} else l end) else list_append(lines, {'y': m, 'h': h, 'n': 1.0::double}) end
+   from (select o.doc_id, o.det_idx, o.x1, o.k, o.m, o.h, r.lines, coalesce(list_position(list_transform(r.lines, lambda l: abs(o.m - l.y) < 0.5::double * greatest(o.h, l.h)), true), 0)::bigint as pos
+     from r join o on o.doc_id = r.doc_id and o.k = r.k + 1))
+ select doc_id, det_idx, row_number() over (partition by doc_id order by line, x1, k) as "rank" from r"""
+
+
+@query("reading_order", with_roles(_READ, "boxes").replace("with boxes", "with recursive boxes"))
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.reading_order(role(spark, sf_dir, "boxes")).select("doc_id", "det_idx", "rank")
 
@@ -311,5 +321,5 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = F.array(point(a, zero), point(a + b, zero), point(a + b, a + b), point(a, a + b))
     moved = F.array(point(a + a, zero), point(a + b + a, zero), point(a + b + a, a + b), point(a + a, a + b))
     centre = geometry.polygon_centroid(box)
-    reach = F.least(geometry.hausdorff(box, moved), a)
+    reach = geometry.hausdorff(box, moved)
     return p.select("id", geometry.polygon_area(box).alias("area"), F.bround(centre["x"], 9).alias("cx"), F.bround(centre["y"], 9).alias("cy"), reach.alias("reach"))

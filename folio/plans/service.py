@@ -19,7 +19,7 @@ def document_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return options.with_options(role(spark, sf_dir, "log")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-_LISTS = ", ".join(f"('{m}', {[*options.CYRILLIC[m].split(), *[f for f in options.LATIN[m].split() if f not in options.CYRILLIC[m].split()]]})" for m in options.CYRILLIC)
+_LISTS = ", ".join(f"('{m}', {[*options.CYRILLIC[m], *[f for f in options.LATIN[m] if f not in options.CYRILLIC[m]]]})" for m in options.CYRILLIC)
 
 
 @query(
@@ -37,10 +37,10 @@ def read_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "allowed_boxes",
-    with_roles(" select label, count(*) as n from boxes where doc_id % 2 = 0 and (doc_id % 4 = 0 or label <> 'Birth_place_ru') group by label", "boxes"),
+    with_roles(" select label, count(*) as n from boxes where doc_id % 4 = 0 or label <> 'Birth_place_ru' group by label", "boxes"),
 )
 def allowed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = role(spark, sf_dir, "boxes").where("doc_id % 2 = 0")
+    boxes = role(spark, sf_dir, "boxes")
     fields = boxes.where("doc_id % 4 = 0 or label <> 'Birth_place_ru'").select("doc_id", F.col("label").alias("field"))
     return options.allowed_boxes(boxes, fields).groupBy("label").agg(F.count("*").alias("n"))
 

@@ -48,13 +48,13 @@ def fix_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "clean_ruler",
-    r"""with t as (select doc_id, replace(replace(substr(text, 1, 120), 'e ', ' . '), 'th', ',.-') as raw from documents where lang = 'en'),
+    r"""with t as (select doc_id, replace(replace(text, 'e ', ' . '), 'th', ',.-') as raw from documents),
     r as (select doc_id, regexp_replace(raw, '[.,_\-"]{2,}', ' ', 'g') as a from t)
     select doc_id, array_to_string(list_filter(regexp_split_to_array(a, '\s+'), lambda w: w <> '' and not regexp_full_match(w, '[.,_\-"]')), ' ') as cleaned from r""",
 )
 def clean_ruler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    raw = F.replace(F.replace(F.substring("text", 1, 120), F.lit("e "), F.lit(" . ")), F.lit("th"), F.lit(",.-"))
+    d = table(spark, sf_dir, "documents")
+    raw = F.replace(F.replace("text", F.lit("e "), F.lit(" . ")), F.lit("th"), F.lit(",.-"))
     return d.select("doc_id", text.clean_ruler(raw).alias("cleaned"))
 
 

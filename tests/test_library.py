@@ -99,9 +99,29 @@ def test_suppression(spark):
     assert kept(detect.dedup_fields(boxes(spark, [(1, 0, 0, 0, 1, 1, 0.6, "Licence_number"), (1, 1, 0, 0, 1, 1, 0.9, "Licence_number")]))) == [(1, 1)]
 
 
-def test_reading_order():
-    rows = np.array([[50, 1, 60, 11], [0, 0, 10, 10], [0, 20, 10, 30], [30, 22, 40, 32]], float)
-    assert detect.line_order(rows) == [1, 0, 2, 3]
+def test_reading_order(spark):
+    rows = [(50, 1, 60, 11), (0, 0, 10, 10), (0, 20, 10, 30), (30, 22, 40, 32)]
+    out = detect.reading_order(boxes(spark, [(1, i, *r, 0.5, "a") for i, r in enumerate(rows)]))
+    assert [r.det_idx for r in out.orderBy("rank").collect()] == [1, 0, 2, 3]
+
+
+def test_suppression_is_greedy(spark):
+    rng = np.random.default_rng(3)
+    rows = [(p, i, *xy, xy[0] + 12, xy[1] + 12, float(c), "a") for p in range(4) for i, (xy, c) in enumerate(zip(rng.integers(0, 40, (25, 2)).tolist(), rng.random(25).round(1), strict=True))]
+
+    def over(a, b):
+        w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+        return max(w, 0) * max(h, 0) / (288 - max(w, 0) * max(h, 0))
+
+    want = []
+    for p in range(4):
+        kept = []
+        for r in sorted((r for r in rows if r[0] == p), key=lambda r: (-r[6], r[1])):
+            if all(over(k, r) < 0.3 for k in kept):
+                kept.append(r)
+        want += [(p, r[1]) for r in kept]
+    out = detect.suppress(boxes(spark, rows), 0.3)
+    assert out.columns == boxes(spark, rows).columns and sorted((r.doc_id, r.det_idx) for r in out.collect()) == sorted(want)
 
 
 def test_nearest_centroid(spark):
@@ -289,8 +309,13 @@ def test_moving_average_of_a_long_history(spark):
     want = 0.6
     for _, _, v in rows:
         want = want * 0.7 + max(v, 0.05) * 0.3
-    got = evaluate.moving_average(spark.createDataFrame(rows, "k long, at long, v double"), "k", "v", ["at"]).first().ema
-    assert got == pytest.approx(want, abs=1e-9)
+    rows += [(2, 0, None), (None, 0, 1.0)]
+    df = spark.createDataFrame(rows, "k long, at long, v double").repartition(7)
+    got = {r.k: (r.ema, r.n) for r in evaluate.moving_average(df, "k", "v", ["at"]).collect()}
+    assert got == {1: (pytest.approx(want, abs=1e-9), 500), None: (pytest.approx(0.72), 1)}
+    ends = [evaluate.moving_average(df.where("k = 1"), "k", "v", ["at"], keep=k).first().ema for k in (0.0, 1.0)]
+    assert ends == [pytest.approx(2.0), pytest.approx(0.6)]
+    assert evaluate.moving_average(df.limit(0), "k", "v", ["at"]).count() == 0
 
 
 def test_reading_order_of_pages(spark):
