@@ -101,3 +101,42 @@ def resized(h: Column, w: Column, longest: int) -> tuple[Column, Column]:
     """Shape with the longest side at most ``longest``, never enlarged."""
     ratio = F.greatest(h, w) / F.lit(float(longest))
     return tuple(F.when(ratio > 1, F.floor(x / ratio)).otherwise(x).cast("int") for x in (h, w))
+
+
+def angle_of(a: Column, b: Column) -> Column:
+    """Direction from one point to another, in degrees from -180 to 180."""
+    return F.degrees(F.atan2(b["y"] - a["y"], b["x"] - a["x"]))
+
+
+def by_angle(points: Column) -> Column:
+    """Points in the order of their direction from the centroid."""
+    n = F.size(points)
+    mean = lambda c: F.aggregate(points, F.lit(0.0), lambda s, p: s + p[c]) / n
+    cx, cy = mean("x"), mean("y")
+    keyed = F.array_sort(F.transform(points, lambda p: F.struct(F.atan2(p["y"] - cy, p["x"] - cx).alias("a"), p.alias("p"))))
+    return F.transform(keyed, lambda k: k["p"])
+
+
+def crossing(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Where the lines through a, b and c, d meet; null if they are parallel."""
+    det = (a["x"] - b["x"]) * (c["y"] - d["y"]) - (a["y"] - b["y"]) * (c["x"] - d["x"])
+    p, q = a["x"] * b["y"] - a["y"] * b["x"], c["x"] * d["y"] - c["y"] * d["x"]
+    x = F.try_divide(p * (c["x"] - d["x"]) - (a["x"] - b["x"]) * q, det)
+    y = F.try_divide(p * (c["y"] - d["y"]) - (a["y"] - b["y"]) * q, det)
+    return F.when(F.abs(det) > 1e-12, F.struct(x.alias("x"), y.alias("y")))
+
+
+def foot(p: Column, a: Column, b: Column) -> Column:
+    """The foot of the perpendicular from a point to the line through a and b; null if these are one."""
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    t = F.try_divide((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy, dx * dx + dy * dy)
+    return F.when(t.isNotNull(), F.struct((a["x"] + t * dx).alias("x"), (a["y"] + t * dy).alias("y")))
+
+
+def quad_of_longest(points: Column) -> Column:
+    """The four corners in which the four longest sides of a polygon meet, in its order; null if two are parallel."""
+    n = F.size(points)
+    side = F.transform(points, lambda p, i: F.struct((-F.hypot(F.get(points, (i + 1) % n)["x"] - p["x"], F.get(points, (i + 1) % n)["y"] - p["y"])).alias("l"), i.alias("i"), p.alias("a"), F.get(points, (i + 1) % n).alias("b")))
+    four = F.array_sort(F.transform(F.slice(F.array_sort(side), 1, 4), lambda s: F.struct(s["i"].alias("i"), s["a"].alias("a"), s["b"].alias("b"))))
+    corners = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: crossing(F.get(four, k)["a"], F.get(four, k)["b"], F.get(four, (k + 1) % 4)["a"], F.get(four, (k + 1) % 4)["b"]))
+    return F.when((n >= 4) & ~F.exists(corners, lambda c: c.isNull()), corners)

@@ -141,3 +141,8 @@ def snils_check(number: Column) -> Column:
     expected = F.lpad((F.when(rest == 100, 0).otherwise(rest)).cast("string"), 2, "0")
     counted = (F.length(digits) == 11) & (F.substring(digits, 1, 9) > "001001998")
     return F.when(counted, F.substring(digits, 10, 2) == expected)
+
+
+def entry(zone: Column) -> Column:
+    """The verdicts of a zone, null where there is none to judge."""
+    return F.when(F.size(lines(zone)) > 0, validate(zone))

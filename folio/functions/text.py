@@ -233,3 +233,55 @@ def ladder(x: Column, rungs: list[int]) -> Column:
     for rung in reversed(rungs):
         out = F.when(x <= rung, rung).otherwise(out)
     return out
+
+
+def as_int(x: Column) -> Column:
+    """A whole number, null where the text is none; fractions are cut off."""
+    return x.cast("string").try_cast("double").try_cast("long")
+
+
+def as_text(x: Column) -> Column:
+    """Any value as text; null stays null, numbers and truths as JSON has them."""
+    return x.cast("string")
+
+
+def plain_json(x: Column) -> Column:
+    """A nested value as JSON, nulls kept; numbers that JSON can't hold become null."""
+    return F.to_json(x, {"ignoreNullFields": "false"})
+
+
+def quality_value(x: Column) -> Column:
+    """A quality entry: a number to four places where it is one, else its text; both as text."""
+    n = number(x.try_cast("double"))
+    return F.coalesce(n.cast("string"), x)
+
+
+def flat_contour(points: Column) -> Column:
+    """Points (x, y) as pairs [x, y]; none of a null outline."""
+    return F.transform(F.coalesce(points, F.array().cast("array<struct<x: double, y: double>>")), lambda p: F.array(p["x"], p["y"]))
+
+
+def snils_verdict(value: Column) -> Column:
+    """O9 (extension): SNILS-1 and SNILS-2: mask, and check number for numbers above 001-001-998."""
+    mask = F.regexp_replace(F.trim(value), r"^(\d{3}-\d{3}-\d{3})-(\d{2})$", "$1 $2")
+    digits = F.regexp_replace(mask, r"\D", "")
+    total = F.lit(0)
+    for i in range(9):
+        total = total + F.substring(digits, i + 1, 1).try_cast("int") * (9 - i)
+    total = F.when(total > 101, total % 101).otherwise(total)
+    want = F.when(total >= 100, 0).otherwise(total)
+    checked = F.left(digits, F.lit(9)).try_cast("long") > 1001998
+    right = ~checked | (F.right(digits, F.lit(2)).try_cast("int") == want)
+    verdict = F.when(~mask.rlike(r"^\d{3}-\d{3}-\d{3} \d{2}$"), "malformed").when(right, "ok").otherwise("failed")
+    return F.when(value.isNotNull(), verdict)
+
+
+def date_checks(birth: Column, issue: Column, today: Column, least_age: int = 0, most_age: int = 120) -> Column:
+    """O9 (extension): GEN-1 to GEN-3: dates that exist, in order, none in the future, an age that can be."""
+    b, i = (F.try_to_date(x, "dd.MM.yyyy") for x in (birth, issue))
+    exists = F.when((birth.isNotNull() & b.isNull()) | (issue.isNotNull() & i.isNull()), "failed").when(birth.isNull() & issue.isNull(), "not_applicable").otherwise("ok")
+    both = b.isNotNull() & i.isNotNull()
+    order = F.when(~both, "not_applicable").when((b < i) & (i <= today), "ok").otherwise("failed")
+    age = F.floor(F.months_between(i, b) / 12)
+    fits = F.when(~both, "not_applicable").when((age >= least_age) & (age <= most_age), "ok").otherwise("failed")
+    return F.struct(exists.alias("dates_exist"), order.alias("dates_in_order"), fits.alias("age"))

@@ -73,10 +73,15 @@ def blur_level(patches: DataFrame) -> DataFrame:
     return patches.groupBy("doc_id").agg(level.alias("level")).withColumn("verdict", F.when(F.col("level") > 0.9, "good").otherwise("bad"))
 
 
+def good_enough(glare: Column, blur: Column, conf: Column, least: float) -> Column:
+    """Neither glare nor blur is bad, and the type is confident; a missing verdict passes."""
+    bad = (F.coalesce(glare, F.lit("good")) == "bad") | (F.coalesce(blur, F.lit("good")) == "bad")
+    return ~bad & ~F.coalesce(conf < least, F.lit(False))
+
+
 def quality_gate(quality: DataFrame, least: float) -> DataFrame:
-    """What passes: neither glare nor blur is bad, and the type is confident; a missing verdict passes."""
-    bad = (F.coalesce(F.col("glare"), F.lit("good")) == "bad") | (F.coalesce(F.col("blur"), F.lit("good")) == "bad")
-    return quality.where(~bad & ~F.coalesce(F.col("doc_conf") < least, F.lit(False)))
+    """The rows that are good enough."""
+    return quality.where(good_enough(F.col("glare"), F.col("blur"), F.col("doc_conf"), least))
 
 
 def argmax_label(scores: Column, labels: Column) -> Column:

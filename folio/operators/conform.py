@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # Leaves that are coordinates, scores or identifiers, and each profile's tolerances.
@@ -15,6 +17,15 @@ SCORES = ["conf", "doc_conf", "DocConf", "p_handwritten"]
 DISCRETE = ["cls", "width", "height", "field_count", "retry_count", "size_bytes", "id"]
 PROFILES = {"cpu": (1e-3, 1e-3, 1e-3), "gpu": (1e-2, 1.0, 1e-2)}
 BOX_COLUMNS = ["x1", "y1", "x2", "y2", "conf", "cls", "label"]
+#: Paths held to nullness only, since times and devices differ in every run.
+IGNORED = [
+    r"(^|\.)timings(\.|$)",
+    r"(^|\.)device$",
+    r"(^|\.)ocr_device$",
+    r"(^|\.)providers(\[|$)",
+    r"(^|\.)processing_ms$",
+    r"(^|\.)(created|started|finished)_at$",
+]
 #: One step of a quantised value differs by a little more than the step in binary.
 NUDGE = 1 + 2.0**-40
 
@@ -58,39 +69,44 @@ def flatten(value: object, path: str = "") -> Iterator[tuple[str, str, str | Non
 
 
 def leaves(records: DataFrame, key: str, json_col: str) -> DataFrame:
-    """(key, path, kind, value) of the records' JSON; malformed ones give one row of kind ``invalid``."""
-
-    @F.udtf(returnType="path string, kind string, value string")
-    class Leaves:
-        def eval(self, text: str | None):  # noqa: ANN202
-            try:
-                found = json.loads(text) if text is not None else None
-            except ValueError:
-                yield "$", "invalid", text
-                return
-            yield from flatten(found)
-
-    records.sparkSession.udtf.register("folio_leaves", Leaves)
-    return records.sparkSession.sql(f"select {key}, f.* from {{records}}, lateral folio_leaves({json_col}) f", records=records)
+    """(key, path, kind, value) of the records' JSON, a batch at a time; malformed ones give one row of
+    kind ``invalid``, a null one a single null."""
+    kinds = T.StructType([records.schema[key], *[T.StructField(c, T.StringType()) for c in ("path", "kind", "value")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                try:
+                    found = list(flatten(json.loads(text))) if text is not None else [("$", "null", None)]
+                except ValueError:
+                    found = [("$", "invalid", text)]
+                at += [i] * len(found)
+                rows += found
+            cols = [pa.array([r[c] for r in rows], pa.string()) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *cols], names=[key, "path", "kind", "value"])
+
+    return records.select(key, json_col).mapInArrow(run, kinds)
 
 
 def differences(golden: DataFrame, actual: DataFrame, keys: list[str], profile: str = "cpu", ignored: list[str] | None = None) -> DataFrame:
     """What differs between two tables of (keys, path, kind, value) leaves.
 
     missing and extra paths; kinds that differ; array lengths; numbers beyond their tolerance; other
-    values that aren't equal. Paths that match ``ignored`` are held to nullness only. Below a
-    container that is missing, or of another kind or length, nothing more is told.
+    values that aren't equal. Paths that match ``ignored`` (IGNORED, if not given) are held to nullness
+    only. Below a container that is missing, or of another kind or length, nothing more is told.
+    A path stands once in a record. One exchange, by record, serves the comparison and the containers.
     """
-    g, a = golden.alias("g"), actual.alias("a")
-    on = [F.col(f"g.{k}") == F.col(f"a.{k}") for k in [*keys, "path"]]
-    both = g.join(a, on, "full_outer")
-    cols = [F.coalesce(F.col(f"g.{k}"), F.col(f"a.{k}")).alias(k) for k in [*keys, "path"]]
-    both = both.select(*cols, F.col("g.kind").alias("gk"), F.col("a.kind").alias("ak"), F.col("g.value").alias("gv"), F.col("a.value").alias("av"))
+    side = lambda df, mine, other: df.select(
+        *keys, "path", F.col("kind").alias(f"{mine}k"), F.col("value").alias(f"{mine}v"), F.lit(None).cast("string").alias(f"{other}k"), F.lit(None).cast("string").alias(f"{other}v")
+    )
+    rows = side(golden, "g", "a").unionByName(side(actual, "a", "g")).repartition(*keys)
+    both = rows.groupBy(*keys, "path").agg(*[F.max(c).alias(c) for c in ("gk", "gv", "ak", "av")])
     name = leaf(F.col("path"))
     gap = F.abs(F.col("gv").try_cast("double") - F.col("av").try_cast("double"))
     far = gap > tolerance(name, profile) * NUDGE
     lenient = F.lit(False)
-    for pattern in ignored or []:
+    for pattern in IGNORED if ignored is None else ignored:
         lenient = lenient | F.col("path").rlike(pattern)
     null_differs = (F.col("gk") == "null") != (F.col("ak") == "null")
     kind = (
@@ -105,12 +121,33 @@ def differences(golden: DataFrame, actual: DataFrame, keys: list[str], profile:
     )
     found = both.withColumn("diff", kind).where("diff is not null")
     # A container's own difference stands for all below it.
-    whole = found.where((F.col("diff").isin("type", "length", "missing", "extra")) & (F.col("gk").isin("array", "object") | F.col("ak").isin("array", "object")))
-    whole = whole.select(*keys, F.col("path").alias("__top"))
-    below = F.col("w.__top").isNotNull() & ((F.col("w.__top") == "$") & (F.col("f.path") != "$") | F.col("f.path").startswith(F.concat("w.__top", F.lit("."))) | F.col("f.path").startswith(F.concat("w.__top", F.lit("["))))
-    on = [F.col(f"f.{k}") == F.col(f"w.{k}") for k in keys]
-    out = found.alias("f").join(whole.alias("w"), [*on, below], "left_anti")
-    return out.select(*[F.col(f"f.{k}") for k in keys], F.col("f.path").alias("path"), F.col("f.diff").alias("kind"))
+    container = F.col("gk").isin("array", "object") | F.col("ak").isin("array", "object")
+    whole = F.when(F.col("diff").isin("type", "length", "missing", "extra") & F.coalesce(container, F.lit(False)), F.col("path"))
+    found = found.withColumn("__tops", F.collect_set(whole).over(Window.partitionBy(*keys)))
+    below = lambda t: ((t == "$") & (F.col("path") != "$")) | F.col("path").startswith(F.concat(t, F.lit("."))) | F.col("path").startswith(F.concat(t, F.lit("[")))
+    return found.where(~F.exists("__tops", below)).select(*keys, "path", F.col("diff").alias("kind"))
+
+
+def perturbed(records: DataFrame, path: str, by: float) -> DataFrame:
+    """Leaves with the number at a path moved, to prove that a comparison can fail."""
+    hit = (F.col("path") == path) & (F.col("kind") == "number")
+    return records.withColumn("value", F.when(hit, (F.col("value").try_cast("double") + by).cast("string")).otherwise(F.col("value")))
+
+
+def stage_index(spark: SparkSession, root: str) -> DataFrame:
+    """(case, ord, stage, payload) of stage files ``<case>/stages/<stage>.json`` below a tree, in the order of
+    their names; the payload is text, read only where it is asked for."""
+    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root)
+    path = F.col("_metadata.file_path")
+    parts = text.select(F.regexp_extract(path, r"([^/]+)/stages/[^/]+$", 1).alias("case"), F.regexp_extract(path, r"/stages/([^/]+)\.json$", 1).alias("stage"), F.col("value").alias("payload"))
+    place = F.row_number().over(Window.partitionBy("case").orderBy("stage"))
+    return parts.where("stage <> ''").select("case", place.cast("long").alias("ord"), "stage", "payload")
+
+
+def same_weights(golden: Column, installed: Column) -> Column:
+    """May results be graded? Not if both sets of weights are known and differ."""
+    unknown = F.coalesce(golden, F.lit("")).isin("") | F.coalesce(installed, F.lit("")).isin("")
+    return unknown | F.coalesce(golden == installed, F.lit(False))
 
 
 def array_differences(golden: DataFrame, actual: DataFrame, key: str, column: str, tol: float) -> DataFrame:
@@ -174,14 +211,31 @@ def manifest_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(F.coalesce("o.path", "n.path").alias("path"), kind.alias("kind")).where("kind is not null")
 
 
-def vacuous(kind: Column, size: Column) -> Column:
-    """Why a golden payload proves nothing, null if it does."""
-    return F.when(kind == "null", "golden is null").when(size == 0, F.concat(F.lit("golden is an empty "), kind))
+def vacuous(payload: Column) -> Column:
+    """Why a golden payload (JSON text) proves nothing, null if it does: null, empty, or an object of nulls only."""
+    v = F.try_parse_json(payload)
+    kind = F.schema_of_variant(v)
+    empty = F.regexp_replace(payload, r"\s", "")
+    name = F.when(empty == "{}", "dict").when(empty == "[]", "list").when(empty == '""', "str")
+    # Of an object of nulls the schema names no other type.
+    bare = F.regexp_replace(kind, r"^OBJECT<(.*)>$", "$1")
+    nulls = kind.startswith("OBJECT<") & ~F.regexp_replace(bare, r"(^|, )[^,]*?: VOID", "").rlike(r"\S")
+    return (
+        F.when(payload.isNull() | (empty == "null"), "golden is null")
+        .when(name.isNotNull(), F.concat(F.lit("golden is an empty "), name))
+        .when(F.coalesce(nulls, F.lit(False)), "every value in the golden is null")
+    )
 
 
-def digest_verdict(golden_sha: Column, actual_sha: Column, golden_shape: Column, actual_shape: Column) -> Column:
-    """Equal digests pass; else equal shapes warn; else the shapes differ."""
-    return F.when(golden_sha == actual_sha, "pass").when(golden_shape == actual_shape, "shape-only").otherwise("FAIL")
+def digest_verdict(golden_sha: Column, actual_sha: Column, golden_shape: Column, actual_shape: Column, pixels_ok: Column | None = None) -> Column:
+    """Another shape fails; equal digests pass; else the pixels decide where there are any (null: none), else a warning."""
+    pixels = pixels_ok if pixels_ok is not None else F.lit(None).cast("boolean")
+    return (
+        F.when(~golden_shape.eqNullSafe(actual_shape), "FAIL")
+        .when(golden_sha == actual_sha, "pass")
+        .when(pixels.isNull(), "shape-only")
+        .otherwise(F.when(pixels, "pass").otherwise("FAIL"))
+    )
 
 
 def last_entries(logs: DataFrame, n: int, least: str | None = None, search: str | None = None) -> DataFrame:

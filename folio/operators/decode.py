@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def best_classes(matrix: Column, allowed: list[int] | None = None) -> Column:
@@ -62,3 +63,25 @@ def join_address(lines: DataFrame, placeholder: str = "[handwritten]") -> DataFr
     row = F.struct("pos", F.when(hand, placeholder).otherwise(F.coalesce("text", F.lit(""))).alias("text"))
     grouped = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("w"), F.bool_or(hand).alias("has_handwritten"))
     return grouped.select("doc_id", F.array_join(F.transform("w", lambda x: x["text"]), "\n").alias("address"), "has_handwritten")
+
+
+def ctc_indices(matrix: Column, blank: int = 0) -> Column:
+    """The classes that a matrix of scores collapses to, as numbers: repeats once, blanks gone."""
+    best = F.transform(matrix, lambda row: F.array_position(row, F.array_max(row)).cast("int") - 1)
+    emitted = lambda x, i: (x != blank) & ((i == 0) | (x != F.get(best, i - 1)))
+    return F.filter(best, emitted)
+
+
+def raveled(features: Column) -> Column:
+    """A nested feature array as one flat array."""
+    return F.flatten(features)
+
+
+def batched_by_width(words: DataFrame, rungs: list[int], size: int) -> DataFrame:
+    """(word_id, rung, batch, place): words of one padded width in batches of at most ``size`` of a document;
+    results come back by word_id, whatever batch they ran in."""
+    from folio.functions.text import ladder
+
+    w = words.withColumn("rung", ladder(F.col("width"), rungs).cast("long"))
+    at = F.row_number().over(Window.partitionBy("doc_id", "rung").orderBy("word_id")) - 1
+    return w.withColumn("__at", at).select("doc_id", "word_id", "rung", F.floor(F.col("__at") / size).alias("batch"), (F.col("__at") % size).cast("long").alias("place"))

@@ -116,3 +116,20 @@ def any_of(columns: list[Column]) -> Column:
     for c in columns:
         out = out | c
     return out
+
+
+def engine_table(results: DataFrame, engines: list[str]) -> DataFrame:
+    """(doc_id, engine, field, text) as one row for each field that any engine read, a column for each engine."""
+    return results.groupBy("doc_id", "field").pivot("engine", engines).agg(F.max("text"))
+
+
+def suspicious_by_engine(results: DataFrame, engines: list[str]) -> DataFrame:
+    """(engine, suspicious, fields): of all fields that any engine read, how many each read suspiciously or not."""
+    table = engine_table(results, engines)
+    counts = [F.struct(F.lit(e).alias("engine"), F.count_if(text.suspicious(F.col(e))).alias("suspicious"), F.count("*").alias("fields")) for e in engines]
+    return table.agg(F.array(*counts).alias("c")).select(F.inline("c"))
+
+
+def concurrent_members(timings: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The stages that ran beside others in each document, as a set in order."""
+    return timings.groupBy(key).agg(F.array_sort(F.collect_set(F.when(F.col("concurrent"), F.col("stage")))).alias("members"))

@@ -237,3 +237,92 @@ def coerce_setting(kind: Column, raw: Column, low: Column, high: Column, choices
         .otherwise(trimmed)
     )
     return F.when(error.isNull(), value), error
+
+
+def create(log: DataFrame, new: DataFrame) -> DataFrame:
+    """The records with new ones, whose ids follow the highest there is, in the order of their names.
+
+    New rows are numbered within ranges of (filename, created_at) and ranges by their counts, so no task sees them all.
+    """
+    last = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
+    parts = new.repartitionByRange("filename", "created_at").withColumn("__part", F.spark_partition_id())
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
+    # One row for each range, as many as partitions.
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy("filename", "created_at"))
+    made = parts.withColumn("__place", place).join(F.broadcast(before), "__part").join(F.broadcast(last))
+    made = made.withColumn("id", F.col("__last") + F.col("__before") + F.col("__place")).drop("__part", "__place", "__before", "__last")
+    return log.unionByName(made, allowMissingColumns=True)
+
+
+def update(log: DataFrame, changes: DataFrame, now: Column, key: str = "id") -> DataFrame:
+    """Records with the columns of ``changes`` that aren't null, and the time of the change; others as they were."""
+    names = [c for c in changes.columns if c != key]
+    n = changes.select(key, *[F.col(c).alias(f"__{c}") for c in names], F.lit(True).alias("__changed"))
+    out = log.join(n, key, "left")
+    for c in names:
+        out = out.withColumn(c, F.coalesce(f"__{c}", c))
+    if "updated_at" in log.columns:
+        out = out.withColumn("updated_at", F.when(F.col("__changed"), now).otherwise(F.col("updated_at")))
+    return out.select(*log.columns)
+
+
+def removal_counts(log: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(removed, kept, active): what a purge, or a removal of ids, does; what is being processed stays."""
+    asked = F.lit(True)
+    if ids is not None:
+        log = log.join(ids.select("id").distinct().withColumn("__asked", F.lit(True)), "id", "left")
+        asked = F.coalesce("__asked", F.lit(False))
+    active = asked & (F.col("status") == "processing")
+    gone = asked & ~F.coalesce(F.col("status") == "processing", F.lit(False))
+    return log.agg(F.count_if(gone).alias("removed"), F.count_if(~gone).alias("kept"), F.count_if(active).alias("active"))
+
+
+def update_settings(stored: DataFrame, schema: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, value, restart) of the settings to store, and (key, error) of bad ones.
+
+    ``schema`` has key, kind, low, high, choices, default and restart_required; ``values`` key and value. Keys that the
+    schema lacks are dropped; ``restart`` is set only where the value differs from the stored one, or the default.
+    """
+    x = values.join(schema, "key").join(stored.select("key", F.col("value").alias("__now")), "key", "left")
+    value, error = coerce_setting(F.col("kind"), F.col("value"), F.col("low"), F.col("high"), F.col("choices"))
+    x = x.withColumn("__value", value).withColumn("error", error)
+    changed = ~F.col("__value").eqNullSafe(F.coalesce("__now", "default"))
+    good = x.where("error is null").select("key", F.col("__value").alias("value"), (F.col("restart_required") & changed).alias("restart"))
+    return good, x.where("error is not null").select("key", "error")
+
+
+def verify_keys(presented: DataFrame, keys: DataFrame) -> DataFrame:
+    """(request, key_id) of presented keys by digest; key_id is null for one that is unknown or revoked."""
+    live = keys.where("revoked_at is null").select(F.col("id").alias("key_id"), F.col("key_hash").alias("__hash"))
+    return presented.withColumn("__hash", F.sha2("key", 256)).join(live, "__hash", "left").select("request", "key_id")
+
+
+def delete_key_code(found: Column, is_default: Column) -> Column:
+    """404 for a key that isn't there, 409 for the default one, else 204."""
+    return F.when(~F.coalesce(found, F.lit(False)), 404).when(is_default, 409).otherwise(204)
+
+
+#: What an artifact is looked for under, in order, and the type it is served as.
+ARTIFACTS = {
+    "canvas": [("canvas.png", "image/png"), ("canvas.jpg", "image/jpeg")],
+    "thumb": [("thumb.jpg", "image/jpeg"), ("canvas.png", "image/png"), ("canvas.jpg", "image/jpeg")],
+}
+
+
+def open_artifacts(files: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, name, media) of each document's artifact: a missing thumb falls back to the canvas; an
+    original is its first file by name, typed by its first bytes; temporary files don't count."""
+    if kind == "original":
+        found = files.where(F.col("name").startswith("original.") & ~F.col("name").endswith(".tmp"))
+        first = found.groupBy("doc_id").agg(F.min_by(F.struct("name", "head"), "name").alias("f"))
+        media = F.coalesce(F.concat(F.lit("image/"), sniff(F.col("f.head"))), F.lit("application/octet-stream"))
+        return first.select("doc_id", "f.name", media.alias("media"))
+    order = F.lit(None).cast("int")
+    media = F.lit(None).cast("string")
+    for i, (name, served) in enumerate(ARTIFACTS[kind]):
+        order = F.when(F.col("name") == name, i).otherwise(order)
+        media = F.when(F.col("name") == name, served).otherwise(media)
+    found = files.select("doc_id", "name", order.alias("__order"), media.alias("media")).where("__order is not null")
+    best = found.groupBy("doc_id").agg(F.min_by(F.struct("name", "media"), "__order").alias("f"))
+    return best.select("doc_id", "f.name", "f.media")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from folio.functions import text
 from folio.operators import conform, evaluate
 from folio.plans.bindings import role, with_roles
 from folio.plans.registry import query
-from folio.session import table
+from folio.session import shared_dir, table
 from folio.streaming import queue
 
 # Normalised truth and prediction, and their distance; DuckDB counts it in bytes, and the values are ASCII.
@@ -235,16 +232,12 @@ def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("queue_stream", "select event_type as status, count(*) as n from events group by 1")
 def queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1: all of a table's files worked off as a stream, then counted; the batch result must agree."""
-    name = f"folio_queue_{abs(hash(sf_dir)) % 10**8}"
-    checkpoint = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="folio-stream-")
-    stream = queue.table_stream(spark, sf_dir, "events").withColumnRenamed("event_type", "status")
     import uuid
 
-    place = f"{checkpoint}/{name}-{uuid.uuid4().hex}"
+    name = f"folio_queue_{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/{name}"
+    stream = queue.table_stream(spark, sf_dir, "events").withColumnRenamed("event_type", "status")
     q = queue.status_counts(stream).writeStream.format("memory").queryName(name).outputMode("complete")
     q = q.option("checkpointLocation", place).trigger(availableNow=True).start()
     q.awaitTermination()
-    out = spark.createDataFrame(spark.table(name).collect(), "status string, n long")
-    if checkpoint.startswith("file:///tmp/folio-stream-"):
-        shutil.rmtree(checkpoint.removeprefix("file://"), ignore_errors=True)
-    return out
+    return spark.table(name)

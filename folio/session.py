@@ -35,6 +35,32 @@ def build_session(app: str = "folio", cpus: int | None = None, **conf: str) -> S
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder of its own; a cluster is refused, since
+    each executor would write to its own disk.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        found = "file://" + tempfile.mkdtemp(prefix="folio-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back: what it took to make it is done once."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of the folder ``sf_dir``, in any store Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

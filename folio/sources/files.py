@@ -55,9 +55,9 @@ def yolo_labels(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("stem", F.get("p", 0).try_cast("int").alias("cls"), *numbers).where("cls is not null and h is not null")
 
 
-def record_store(spark: SparkSession, root: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def record_store(spark: SparkSession, root: str, schema: T.StructType, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """The records of a folder of JSON files, and what is corrupt, as text; it never fails a read."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root)
+    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
     with_bad = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = text.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", with_bad, options).alias("r"))
