@@ -1,9 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 A bounded sample of labelled texts gives the examples and the vocabulary; a term weighs more the more
-it is associated with the label, and none is left out for a weak association. Every text is a query: the bound of a block of examples is the sum of its terms' block
-maxima, blocks are visited from the highest bound, and the visit ends when no block left can reach
-the k-th best, so the neighbours are exactly the nearest. Their votes, weighted by cosine, go
+it is associated with the label, and none is left out for a weak association. Every text is a query:
+the bound of a block of examples is the sum of its terms' block maxima; the blocks of the highest
+bounds are scored first, then those of the others that can reach the k-th best, so the neighbours are
+exactly the nearest. Their votes, weighted by cosine, go
 through a calibration fitted on other labelled texts of the sample.
 """
 
@@ -21,6 +22,8 @@ from pyspark.sql import types as T
 from folio.llm import kernel as K
 
 
+#: Blocks of the highest bounds that are scored first.
+FIRST = 16
 #: Chi-square that a term without association counts as, and the power of the weight by association.
 LEAST, SHARPNESS = 0.1, 2
 
@@ -138,26 +141,31 @@ def build(ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, h: np.ndarray, n:
     cell = term * (blocks + 1) + example // s.block
     starts = np.searchsorted(cell, np.arange(len(vocabulary) * (blocks + 1))).reshape(len(vocabulary), blocks + 1)
     back = np.argsort(rank)
-    return Model(vocabulary, idf, bounds, starts, example, w, ids[back], toxic[back], (np.array([0.0]), np.array([0.0])), s)
+    return Model(vocabulary, idf, bounds, starts.astype(np.int32), example.astype(np.int32), w, ids[back], toxic[back], (np.array([0.0]), np.array([0.0])), s)
 
 
 def nearest(m: Model, terms: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The examples of highest positive cosine to a query, best first (ties: lower id), and the cosines."""
-    k, size = m.settings.neighbours, m.settings.block
+    k = m.settings.neighbours
     bound = w @ m.bounds[terms]
+    left = np.argsort(-bound, kind="stable")
+    left = left[bound[left] > 0]
+    starts = m.starts[terms]
     best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-    starts = m.starts[terms].T
-    for b in np.argsort(-bound, kind="stable"):
-        if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
+    # The blocks of highest bounds give the k-th best that all others must reach; those that may are scored at once.
+    for some in (left[:FIRST], left[FIRST:]):
+        if len(best_s) == k:
+            some = some[bound[some] >= best_s[-1] - 1e-12]
+        if not len(some):
             break
-        lo, n = starts[b], starts[b + 1] - starts[b]
-        flat = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        score = np.bincount(m.example[flat] - b * size, np.repeat(w, n) * m.weight[flat], minlength=size)
+        lo = starts[:, some]
+        n = (starts[:, some + 1] - lo).ravel()
+        flat = np.repeat(lo.ravel() - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        score = np.bincount(m.example[flat], np.repeat(np.repeat(w, len(some)), n) * m.weight[flat], minlength=len(m.ids))
         got = np.flatnonzero(score > (max(best_s[-1] - 1e-9, 0) if len(best_s) == k else 0))
-        if not len(got):
-            continue
-        best_i = np.concatenate([best_i, got + b * size])
-        best_s = np.concatenate([best_s, score[got]])
+        if len(got) > 4 * k:
+            got = got[score[got] >= np.partition(score[got], len(got) - k)[len(got) - k] - 1e-9]
+        best_i, best_s = np.concatenate([best_i, got]), np.concatenate([best_s, score[got]])
         order = np.lexsort((m.ids[best_i], -np.round(best_s, 12)))[:k]
         best_i, best_s = best_i[order], best_s[order]
     return best_i, best_s
@@ -172,7 +180,7 @@ def vote(m: Model, near: np.ndarray, cosine: np.ndarray) -> float:
 
 
 def calibrate(raw: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic regression by pooling adjacent violators, each pool shrunk by half a row of either label."""
+    """Isotonic regression by pooling adjacent violators, each pool shrunk by a twentieth of a row of either label."""
     order = np.argsort(raw, kind="stable")
     pools: list[list[float]] = []  # [positives, rows, sum of raw]
     for x, y in zip(raw[order].tolist(), toxic[order].tolist(), strict=True):
@@ -189,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, settings: Settings = Se
     """Fit on at most ``2 * examples + calibration`` labelled rows for which ``use`` holds.
 
     Rows are taken in the order of a hash of their id; null labels and ids are passed over, and
-    other labels than 1 count as 0. Without labelled rows every score is 0.
+    other labels than 1 count as 0; of the rows of one id one is taken. A quarter of the hashes calibrates: without
+    labelled rows, or none of that quarter, every score is 0. Texts count whole, null ones as empty.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & use)
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
@@ -202,7 +211,9 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, settings: Settings = Se
     some = some.select("id", (F.col("toxic") + F.when(F.col("kind") == 2, 2).otherwise(0)).alias("toxic"))
     rows = docs.select(F.col(id_col).alias("id"), "text").join(F.broadcast(some), "id").select("id", "toxic", "text")
     got = rows.mapInArrow(_features, "id long, toxic int, terms binary, n binary").toArrow().to_pylist()
-    got = sorted({r["id"]: r for r in got}.values(), key=lambda r: r["id"])
+    # Of an id's rows one is taken, the same in every run.
+    got = {r["id"]: r for r in sorted(got, key=lambda r: (r["id"], r["terms"], r["n"]), reverse=True)}
+    got = [got[i] for i in sorted(got)]
 
     def flat(some: list[dict]) -> tuple[np.ndarray, ...]:
         h = [np.frombuffer(r["terms"], K.U64) for r in some]
