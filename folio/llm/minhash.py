@@ -52,7 +52,7 @@ def signatures(s: np.ndarray, first: np.ndarray, start: int = 0, half: int = BAN
     return out
 
 
-def _sketch(ids: pa.Array, buf: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+def _sketch(ids: pa.Array, nodes: pa.Array, buf: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
     """One row for each text: set size, digest of the set, band keys and sketch bits."""
     h, first = K.word_hashes(buf, offsets)
     s, first = K.shingle_hashes(h, first)
@@ -74,16 +74,16 @@ def _sketch(ids: pa.Array, buf: np.ndarray, offsets: np.ndarray) -> pa.RecordBat
             keys[full, band] = k
         for i, v in enumerate(sig):
             bits[full, i // 16] |= (K.mix(v.astype(K.U64)) & K.U64(15)) << K.U64(4 * (i % 16))
-    cols = [ids, pa.array(sizes), *[pa.array(K.as_long(digest[:, i])) for i in (0, 1)]]
+    cols = [ids, nodes, pa.array(sizes), *[pa.array(K.as_long(digest[:, i])) for i in (0, 1)]]
     cols += [K.list_column(K.as_long(x).ravel(), x.shape[1]) for x in (keys, bits)]
-    return pa.RecordBatch.from_arrays(cols, names=["id", "n_shingles", "d0", "d1", "bands", "bits"])
+    return pa.RecordBatch.from_arrays(cols, names=["doc", "id", "n_shingles", "d0", "d1", "bands", "bits"])
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        buf, offsets = K.text_buffer(batch.column(1))
+        buf, offsets = K.text_buffer(batch.column(2))
         for i, j in K.blocks(offsets):
-            yield _sketch(batch.column(0)[i:j], buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            yield _sketch(batch.column(0)[i:j], batch.column(1)[i:j], buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
 def _sets(col: pa.Array) -> list[np.ndarray]:
@@ -199,27 +199,33 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return b.select("id", "to", "__a", "__b").mapInArrow(_confirm(percent), "id long, to long")
 
 
+def node_of(id_col: str, text_col: str) -> Column:
+    """A number for a row's id and text: rows are told apart by both, as ids may repeat with other texts."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+    """(doc_id, n_shingles, component_id, kept, node) for every row of ``docs``.
 
     Texts with 100 * |A & B| >= percent * |A | B| over their distinct 5-word shingles are linked;
     a component's id is its smallest doc_id. A null, empty or wordless text has an empty set and
-    stands alone, as does a row with a null id (component_id null, kept). Repeated rows get a
-    row each; an id that several texts share is judged as a link's end by one of them. Percentages below 75 lower the recall stated above.
+    stands alone, as does a row with a null id (component_id null, kept). Repeated rows get a row each; rows that
+    share an id but not the text are told apart by ``node`` and may be in different components. No rows give no rows;
+    other columns are not read. Percentages below 75 lower the recall stated above.
 
     1. One pass makes sketches, kept in the shared folder. Texts with equal sets become one class.
     2. Each band bucket links its members to its smallest one; candidates are confirmed on full sets.
     3. Buckets that still hold several components compare the members of different ones, SIDE by SIDE.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("__text"))
-    schema = "id long, n_shingles long, d0 long, d1 long, bands array<long>, bits array<long>"
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), node_of(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("__text"))
+    schema = "doc long, id long, n_shingles long, d0 long, d1 long, bands array<long>, bits array<long>"
     sketches, _ = materialize(rows.mapInArrow(_sketches, schema), "sketches")
-    usable = sketches.where("id is not null and n_shingles > 0")
-    classes = usable.groupBy("d0", "d1", "n_shingles").agg(F.min("id").alias("rep"))
-    # A class is equal sets, so any of its members gives its sketch; the smallest id's row is one of them.
+    usable = sketches.where("doc is not null and n_shingles > 0")
+    classes = usable.groupBy("d0", "d1", "n_shingles").agg(F.min("id").alias("rep"), F.min("doc").alias("least"))
+    # A class is equal sets, so any of its members gives its sketch; rows of one node are equal.
     # Joins with whole tables are merged at every size: none of their sides has a bound.
-    reps = classes.select(F.col("rep").alias("id")).distinct().hint("merge")
+    reps = classes.select(F.col("rep").alias("id")).hint("merge")
     picked = usable.join(reps, "id", "left_semi").dropDuplicates(["id"])
     banded, banded_path = materialize(picked.select("id", F.explode("bands").alias("key")), "bands")
     heads = banded.groupBy("key").agg(F.min("id").alias("to"), F.count("*").alias("n")).where("n > 1")
@@ -227,7 +233,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     discard(spark, banded_path)
     # Only those that share a bucket go on, with sketch and text.
     ids = shared.select("id").distinct().hint("merge")
-    texts = rows.where("id is not null").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = rows.where("doc is not null").select("id", "__text").join(ids, "id", "left_semi").dropDuplicates(["id"])
     sketch = usable.select("id", "n_shingles", "bits", "bands").join(ids, "id", "left_semi").dropDuplicates(["id"])
     known, known_path = materialize(sketch.join(texts.hint("merge"), "id"), "known")
     pairs = shared.where("id <> to").select("id", "to").distinct()
@@ -254,10 +260,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     for path in (shared_path, known_path, tried_path, links_path, member_path, again_path):
         discard(spark, path)
 
-    # A class may hold several ids' rows and an id rows of several classes: join them through both.
-    labels = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    labels = labels.select("d0", "d1", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("id", "n_shingles", "d0", "d1").join(labels, ["d0", "d1", "n_shingles"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    out = out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # The smallest document of each component; of what links nothing, of each class.
+    linked = classes.select(F.col("rep").alias("id"), "least").join(found.hint("merge"), "id")
+    least = linked.groupBy("component").agg(F.min("least").alias("first"))
+    linked, linked_path = materialize(linked.join(least.hint("merge"), "component").select("id", "first"), "labels")
+    labels = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left")
+    labels = labels.select("d0", "d1", "n_shingles", F.coalesce("first", "least").alias("component"))
+    out = sketches.select("doc", "id", "n_shingles", "d0", "d1").join(labels, ["d0", "d1", "n_shingles"], "left")
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
+    out = out.select(F.col("doc").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("id").alias("node"))
+    out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", "node")
