@@ -8,6 +8,7 @@ rejection limits are fitted on training texts that the counts don't hold.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -17,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from folio.llm import kernel as K
 
 SPACE = 32
+#: Characters of a text that count as evidence in its confidence.
+CERTAIN = 400
 
 
 @dataclass(frozen=True)
@@ -49,7 +52,10 @@ class Model:
 
 @lru_cache(maxsize=1)
 def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point: is it a letter or a mark; and what it counts as, in 16 bits."""
+    """For each code point: is it a letter or a mark; and what it counts as, in 16 bits.
+
+    Letters beyond the first plane share the 6,400 codes of the private area, some hundred to a code.
+    """
     import sys
     import unicodedata
 
@@ -212,13 +218,17 @@ def entropies(m: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def decide(m: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Language, confidence, cross-entropy in bits and rejection of each text."""
+    """Language, confidence, cross-entropy in bits and rejection of each text.
+
+    The confidence takes a text's mean entropy as the evidence of CERTAIN characters at most: neighbouring
+    characters aren't independent, and beyond that every text would be certain. The language is that of the whole text.
+    """
     if not m.languages:
         n = len(texts)
         return ["und"] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
     ce, n, letters = entropies(m, texts)
     best = np.argmin(ce, axis=1)
-    z = -(ce - ce.min(axis=1, keepdims=True)) * np.minimum(n, 400)[:, None] * m.temperature
+    z = -(ce - ce.min(axis=1, keepdims=True)) * np.minimum(n, CERTAIN)[:, None] * m.temperature
     score = 1 / np.exp(z).sum(axis=1)
     least = ce[np.arange(len(texts)), best]
     rejected = least > m.limits[best] if m.limits is not None else np.zeros(len(texts), bool)
@@ -232,17 +242,26 @@ def fit(docs: DataFrame, use: Column, settings: Settings = Settings(), id_col: s
     """Fit on at most ``texts + calibration`` whole texts of each language for which ``use`` holds.
 
     Rows are taken in the order of a hash of their id; those with a null id, text or lang are passed
-    over. Only n-gram counts and the calibration texts' entropies come to the driver.
+    over, repeated rows of an id count each. Only ids, n-gram counts and the calibration texts' entropies come to
+    the driver: what is broadcast is bounded by ``texts`` whole texts for each language there is.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col(id_col).isNotNull() & F.col("text").isNotNull() & use)
-    ids = known.select(F.col(id_col).alias("id"), "lang").withColumn("__order", F.xxhash64("id"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("__order", "id"))
-    ids = ids.withColumn("rank", rank).where(F.col("rank") <= settings.texts + settings.calibration)
-    ids = ids.select("id", "lang", (F.col("rank") % 5 == 0).alias("cal")).distinct().toArrow()
-    spark = docs.sparkSession
-    if not ids.num_rows:
+    spark, most = docs.sparkSession, settings.texts + settings.calibration
+    # A language's share of the hashes that holds enough of its rows, twice over; no language's rows meet in one task.
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).toArrow().to_pylist()
+    shares = [(r["lang"], min(1.0, (2 * most + 200) / r["n"])) for r in sizes]
+    if not shares:
         return Model([], settings.order)
-    some = docs.select(F.col(id_col).alias("id"), "lang", "text").join(F.broadcast(spark.createDataFrame(ids)), ["id", "lang"])
+    order = F.xxhash64("id")
+    ids = known.select(F.col(id_col).alias("id"), "lang").join(F.broadcast(spark.createDataFrame(shares, "lang string, __share double")), "lang")
+    ids = ids.where(order / F.lit(2.0**64) + 0.5 < F.col("__share")).select("lang", order.alias("at"), "id").distinct().toArrow().to_pylist()
+    picked, rank = [], Counter()
+    for r in sorted(ids, key=lambda r: (r["lang"], r["at"], r["id"])):
+        rank[r["lang"]] += 1
+        if rank[r["lang"]] <= most:
+            picked.append((r["id"], r["lang"], rank[r["lang"]] % 5 == 0))
+    ids = spark.createDataFrame(picked, StructType([StructField("id", docs.schema[id_col].dataType), StructField("lang", StringType()), StructField("cal", BooleanType())]))
+    some = docs.select(F.col(id_col).alias("id"), "lang", "text").join(F.broadcast(ids), ["id", "lang"])
     counted = some.where(~F.col("cal")).select("lang", "text").mapInArrow(_counted(settings.order), "lang string, gram long, n long")
     got = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs, grams, n = (got.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "gram", "n"))
@@ -268,7 +287,7 @@ def fit(docs: DataFrame, use: Column, settings: Settings = Settings(), id_col: s
     if cal:
         ce, n = np.array([r["ce"] for r in cal]), np.array([r["n"] for r in cal])
         y = np.array([languages.index(r["lang"]) for r in cal])
-        z = -(ce - ce.min(axis=1, keepdims=True)) * np.minimum(n, 400)[:, None]
+        z = -(ce - ce.min(axis=1, keepdims=True)) * np.minimum(n, CERTAIN)[:, None]
         at = np.arange(len(y))
         grid = [2.0**x for x in range(-8, 2)]
         m.temperature = min(grid, key=lambda t: -np.mean(t * z[at, y] - np.log(np.exp(t * z).sum(axis=1))))
