@@ -95,7 +95,8 @@ def _block_anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> Iterato
 
 
 def _requests(length: int, bits: int, text_col: str) -> Callable[[pa.Table], pa.Table]:
-    """A block's distinct k-gram hashes, by hash range; ``many`` says how often it holds each, up to 255."""
+    """A block's distinct k-gram hashes, by hash range; ``many`` says how often it holds each, and ``more`` of those
+    that say 255 how often indeed."""
 
     def run(table: pa.Table) -> pa.Table:
         _, buf, offsets = _rows(table, text_col)
@@ -113,6 +114,7 @@ def _requests(length: int, bits: int, text_col: str) -> Callable[[pa.Table], pa.
                 "__block": pa.array([block] * len(spans), pa.int64()),
                 "hashes": K.binary_column([u[a:b].tobytes() for a, b in spans]),
                 "many": K.binary_column([many[a:b].tobytes() for a, b in spans]),
+                "more": K.binary_column([n[a:b][many[a:b] == 255].astype("<i8").tobytes() for a, b in spans]),
             }
         )
 
@@ -126,7 +128,8 @@ def _answers(most: int) -> Callable[[pa.Table], pa.Table]:
         K.lean()
         blocks = table.column("__block").to_pylist()
         asked = [np.frombuffer(x, K.U64) for x in table.column("hashes").to_pylist()]
-        many = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("many").to_pylist()])
+        many = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("many").to_pylist()]).astype(np.int64)
+        many[many == 255] = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("more").to_pylist()])
         _, index = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(index, many)[index]
         out, at = [], 0
@@ -493,7 +496,10 @@ def remove_repeats(
     columns stay and the text becomes the remaining bytes, without characters cut in two.
     A null text is empty and stays null; a null id counts as the largest; rows of one id are ordered
     by text, equal ones in any order. Columns of the names added, or starting with ``__``, are replaced.
+    ``length`` is at most 255, since runs are coded by the byte.
     """
+    if not 4 <= length <= 255:
+        raise ValueError("length must be from 4 to 255")
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "__key", "__block"]
     docs = docs.drop(*added) if with_text else docs.select(id_col, text_col)
     names = docs.columns
@@ -506,7 +512,7 @@ def remove_repeats(
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     keyed = docs.withColumn("__key", key).withColumn("__block", of_block(F.col("__key"))).repartition("__block")
     asked = keyed.groupBy("__block").applyInArrow(
-        K.trimmed(_requests(length, bits, text_col)), "part long, __block long, hashes binary, many binary"
+        K.trimmed(_requests(length, bits, text_col)), "part long, __block long, hashes binary, many binary, more binary"
     )
     answers = asked.groupBy("part").applyInArrow(K.trimmed(_answers(HOT)), "__block long, hashes binary, hot binary")
     runs = keyed.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(K.trimmed(_runs(length, cuts, text_col)), _RUN)
