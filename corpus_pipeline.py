@@ -1,4 +1,9 @@
-"""A training-corpus pipeline: each stage works on all that the one before it kept."""
+"""A training-corpus pipeline: each stage works on all that the one before it kept.
+
+Of every stage: a null or empty text is judged as an empty one and stays (no toxic word, nothing alike, no
+repeat, no item); texts of any length are read whole; repeated rows are judged alike; a table without rows
+gives none; other columns of a document, whatever their names, pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +17,7 @@ from folio.session import ship
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted toxic, by a model of all labelled documents among them."""
+    """Documents not predicted toxic, by a model of labelled documents among them; without labels all stay."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, F.lit(True))
@@ -21,28 +26,35 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, its smallest id."""
+    """One document of each near-duplicate group, its smallest id.
+
+    Rows without an id or without words stay; rows that share an id are judged by their own texts.
+    """
     ship(spark)
     found = minhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where("not kept").select(F.col("node").alias("__node")).distinct()
+    marked = docs.withColumn("__node", minhash.node_of("doc_id", "text"))
+    return marked.join(gone, "__node", "left_anti").select(*docs.columns)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one, or they themselves earlier, hold."""
+    """Documents without the passages that an earlier one, or they themselves earlier, hold; n_chars is counted anew.
+
+    A document of which nothing is left stays, with an empty text; a null text stays null.
+    """
     ship(spark)
     cut = suffix.remove_repeats(docs)
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; without items all stay."""
     ship(spark)
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of ids and of their decoding."""
+    """Token ids of every document, with the digests of ids and of their decoding; a null text has none."""
     ship(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = bpe.encode(docs, path, public_tokenizers.PATTERN)

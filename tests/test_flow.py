@@ -74,18 +74,21 @@ def test_checks_of_dates_and_zones(spark):
     assert spark.range(1).select(text.plain_json(F.struct(F.lit(1).alias("a"), F.lit(None).cast("int").alias("b"))).alias("j")).first().j == '{"a":1,"b":null}'
 
 
-def test_clusters_need_a_shared_folder(spark, monkeypatch):
-    from pyspark import SparkContext
-
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.unset("spark.checkpoint.dir")
-    monkeypatch.setattr(SparkContext, "master", property(lambda _: "spark://host:7077"))
-    try:
-        with pytest.raises(RuntimeError):
-            shared_dir(spark)
-    finally:
-        if before:
-            spark.conf.set("spark.checkpoint.dir", before)
+def test_clusters_need_a_shared_folder():
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        def __init__(self, master, **conf):
+            self.conf = Conf(conf)
+            self.sparkContext = type("Context", (), {"master": master, "getConf": staticmethod(dict)})
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session("spark://host:7077"))
+    assert shared_dir(Session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+    local = Session("local[2]")
+    assert shared_dir(local) == shared_dir(local) and shared_dir(local).startswith("file://")
 
 
 def test_frames_of_quality_tiles(spark):
