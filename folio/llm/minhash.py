@@ -27,6 +27,8 @@ WORDS, AGREE = BANDS * ROWS // 16, 154
 #: Members of a side of a bucket that meet at once in the second round, and the sharper sketch there:
 #: permutations, and values of twice as many that must agree, 4.5 deviations below the mean at 0.75.
 SIDE, SHARPER, SHARPER_AGREE = 1024, 512, 706
+#: Bytes of text of a side, on average: buckets of long texts are cut into more sides.
+SIDE_BYTES = 32 << 20
 
 
 def _permutations(start: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +217,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     1. One pass makes sketches, kept in the shared folder. Texts with equal sets become one class.
     2. Each band bucket links its members to its smallest one; candidates are confirmed on full sets.
-    3. Buckets that still hold several components compare the members of different ones, SIDE by SIDE.
+    3. Buckets that still hold several components compare the members of different ones, side by side,
+       a side being at most about SIDE members and SIDE_BYTES of text.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), node_of(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("__text"))
@@ -235,6 +238,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     ids = shared.select("id").distinct().hint("merge")
     texts = rows.where("doc is not null").select("id", "__text").join(ids, "id", "left_semi").dropDuplicates(["id"])
     sketch = usable.select("id", "n_shingles", "bits", "bands").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = texts.withColumn("n_bytes", F.octet_length("__text").cast("long"))
     known, known_path = materialize(sketch.join(texts.hint("merge"), "id"), "known")
     pairs = shared.where("id <> to").select("id", "to").distinct()
     slim = known.select("id", F.struct("n_shingles", "bits").alias("x"))
@@ -248,8 +252,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     member = shared.where("n > 2").join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed = member.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     member, member_path = materialize(member.join(mixed.select("key"), "key"), "members")
-    full = member.join(known, "id")
-    sides = F.ceil(F.col("n") / SIDE).cast("int")
+    weight = member.join(known.select("id", "n_bytes").hint("merge"), "id").groupBy("key").agg(F.sum("n_bytes").alias("bytes"))
+    full = member.join(known, "id").join(weight.hint("merge"), "key")
+    sides = F.greatest(F.ceil(F.col("n") / SIDE), F.ceil(F.col("bytes") / SIDE_BYTES)).cast("int")
     side = F.pmod(F.xxhash64("id"), sides.cast("long")).cast("int")
     # Each member meets its own side and all others of its bucket.
     full = full.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))

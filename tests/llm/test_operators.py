@@ -103,9 +103,10 @@ def groups(rows):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("side", [1024, 3])
-def test_near_duplicates(spark, docs, side, monkeypatch):
+@pytest.mark.parametrize(("side", "side_bytes"), [(1024, 32 << 20), (3, 32 << 20), (1024, 600)])
+def test_near_duplicates(spark, docs, side, side_bytes, monkeypatch):
     monkeypatch.setattr(minhash, "SIDE", side)
+    monkeypatch.setattr(minhash, "SIDE_BYTES", side_bytes)
     base = [f"w{i}" for i in range(60)]
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").limit(60).collect()]
     # A family of edits, some of which only chains connect.
