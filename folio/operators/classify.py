@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Centroids that are sent to all executors at once; more are taken in lots.
+#: Centroids that a batch of rows is compared with at once.
 LOT = 4096
+#: Bytes of centroid values that may be broadcast.
+CENTROID_BYTES = 256 << 20
 NONE = "NONE"
 
 
@@ -17,8 +19,11 @@ def nearest_centroid(vectors: DataFrame, centroids: list[tuple[str, list[float],
     (exclusive), else NONE; with its index and distance. Ties go to the first centroid.
 
     ``vectors`` has vec_id and embedding. The centroids are a small table by contract, one for each
-    class; they go to the executors in lots of LOT and each row is read once.
+    class; they go to the executors at once, are compared in lots of LOT, and each row is read once.
+    More than CENTROID_BYTES of them are refused.
     """
+    if sum(len(v) for _, v, _ in centroids) * 8 > CENTROID_BYTES:
+        raise ValueError(f"centroids exceed {CENTROID_BYTES} bytes")
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric {metric}")
     spark = vectors.sparkSession

@@ -111,15 +111,20 @@ def next_id(log: DataFrame) -> DataFrame:
 def queue_positions(log: DataFrame) -> DataFrame:
     """How many queued records are strictly older; equal times share a position.
 
-    Counted by time and summed along distinct times, so the records themselves are never gathered
-    in one task: days first, then times within a day.
+    Counted by time and summed along distinct times, hours first and then times within an hour, so the
+    records themselves are never gathered in one task. Records without a time have no position.
     """
-    queued = log.where("status = 'queued'").select("id", "created_at", F.to_date("created_at").alias("day"))
-    before_day = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = queued.groupBy("day").agg(F.count("*").alias("n"))
-    days = days.select("day", F.coalesce(F.sum("n").over(before_day), F.lit(0)).alias("older_days"))
-    within = F.rank().over(Window.partitionBy("day").orderBy("created_at")) - 1
-    return queued.withColumn("within", within).join(F.broadcast(days), "day").select("id", (F.col("older_days") + F.col("within")).cast("long").alias("position"))
+    queued = log.where("status = 'queued'").select("id", "created_at")
+    times = queued.where("created_at is not null").groupBy("created_at").agg(F.count("*").alias("n"))
+    times = times.withColumn("hour", F.date_trunc("hour", "created_at"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    hours = times.groupBy("hour").agg(F.sum("n").alias("n"))
+    # One row for each hour that holds a queued record: 9,000 a year.
+    hours = hours.select("hour", F.coalesce(F.sum("n").over(before.orderBy("hour")), F.lit(0)).alias("older"))
+    within = F.coalesce(F.sum("n").over(before.partitionBy("hour").orderBy("created_at")), F.lit(0))
+    times = times.withColumn("within", within).join(F.broadcast(hours), "hour")
+    times = times.select("created_at", (F.col("older") + F.col("within")).cast("long").alias("position"))
+    return queued.join(times, "created_at").select("id", "position")
 
 
 def next_queued(log: DataFrame) -> DataFrame:

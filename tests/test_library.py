@@ -130,6 +130,12 @@ def test_nearest_centroid(spark):
     assert got == {1: "a", 2: "NONE", 3: "NONE"}
 
 
+def test_centroids_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(classify, "CENTROID_BYTES", 15)
+    with pytest.raises(ValueError):
+        classify.nearest_centroid(spark.createDataFrame([], "vec_id long, embedding array<double>"), [("a", [1.0, 0.0], 0.5)], 1.0)
+
+
 def test_quality_levels(spark):
     p = spark.createDataFrame([(1, "GLARE", 0.9), (1, "CLEAR", 0.9), (2, "GLARE", 0.85), (3, "NonBlur", 1.0), (3, "Blur5", 1.0), (4, "x", 1.0)], "doc_id long, cls string, conf double")
     glare = {r.doc_id: (r.level, r.verdict) for r in classify.glare_level(p).collect()}
@@ -158,6 +164,10 @@ def test_store_rules(spark):
         store.page(spark.range(1), store.Listing(page_size=0))
     log = spark.createDataFrame([(1, "queued", 5), (2, "queued", 5), (3, "queued", 9), (4, "done", 1)], "id long, status string, t long").withColumn("created_at", F.timestamp_seconds("t"))
     assert dict(store.queue_positions(log).collect()) == {1: 0, 2: 0, 3: 2}
+    spread = [(i, "queued", t) for i, t in enumerate([7200, 10, 7200, 3599, 3600, None, 90_000, 10])]
+    late = spark.createDataFrame(spread, "id long, status string, t long").withColumn("created_at", F.timestamp_seconds("t"))
+    times = [t for _, _, t in spread]
+    assert dict(store.queue_positions(late).collect()) == {i: sum(u < t for u in times if u is not None) for i, t in enumerate(times) if t is not None}
     assert store.next_queued(log).first().id == 1
     none = log.where("false")
     assert dict(store.count_by_status(none).collect()) == dict.fromkeys(store.STATUSES, 0)
