@@ -79,6 +79,23 @@ def page(log: DataFrame, q: Listing) -> DataFrame:
     return ranked.where(F.col("rank") > skip)
 
 
+def page_after(log: DataFrame, q: Listing, value: object, last_id: int) -> DataFrame:
+    """H1, H2 for deep listings: the page that follows the row with this sort value (it may be null) and id.
+
+    The same rows as :func:`page` gives, in their order, but what comes before is filtered at the scan, so the
+    work doesn't grow with the page; ``page`` of the listing is not read.
+    """
+    if not 1 <= q.page_size <= 100:
+        raise ValueError("page_size must be 1 to 100")
+    c = F.col(q.sort_by if q.sort_by in SORTABLE else "created_at")
+    if value is None:
+        later = c.isNull() & (F.col("id") < last_id)
+    else:
+        beyond = c < F.lit(value) if q.descending else c > F.lit(value)
+        later = beyond | c.isNull() | ((c == F.lit(value)) & (F.col("id") < last_id))
+    return constrain(log, q).where(later).orderBy(*order(q)).limit(q.page_size)
+
+
 def page_with_total(log: DataFrame, q: Listing) -> DataFrame:
     """the page, and on each of its rows the number of rows before paging."""
     total = constrain(log, q).agg(F.count("*").alias("total"))

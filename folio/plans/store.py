@@ -39,6 +39,19 @@ _listing("store_search", Listing(search=" URGENT ", page_size=25), "contains(sea
 _listing("store_not_recognised", Listing(doc_type=store.NOT_RECOGNISED), "not recognised", "created_at desc nulls last")
 
 
+@query(
+    "store_page_after",
+    with_roles(
+        f""" select {_COLS} from log where status = 'done'
+        and (doc_conf < 0.25 or doc_conf is null or doc_conf = 0.25 and id < 900) order by doc_conf desc nulls last, id desc limit 40""",
+        "log",
+    ),
+)
+def store_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Listing(status="done", sort_by="doc_conf", page_size=40)
+    return store.page_after(role(spark, sf_dir, "log"), q, 0.25, 900).selectExpr(*_COLS.split(", "))
+
+
 @query(
     "store_filtered",
     with_roles(" select id, status, doc_type from log where status = 'failed' and starts_with(doc_type, 'INTPASSPORT_') and contains(search_text, 'high')", "log"),

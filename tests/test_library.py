@@ -159,6 +159,21 @@ def test_leaf_names(spark):
     assert [value(spark, conform.leaf(F.col("p")), p=p) for p in ("boxes[3].x1", "fields.bbox[11][2]", "words.Name.bbox[0][1][4]", "ocr", "list[3]")] == ["x1", "x2", "conf", "ocr", "list"]
 
 
+@pytest.mark.parametrize("descending", [True, False])
+def test_pages_after_a_row(spark, descending):
+    rows = [(i, "done", None if i % 4 == 0 else float(i % 3)) for i in range(23)]
+    log = spark.createDataFrame(rows, "id long, status string, doc_conf double")
+    value, last, got = float("inf") if descending else float("-inf"), 1 << 40, []
+    while True:
+        found = store.page_after(log, store.Listing(sort_by="doc_conf", descending=descending, page_size=5), value, last).collect()
+        if not found:
+            break
+        got += [r.id for r in found]
+        value, last = found[-1].doc_conf, found[-1].id
+    whole = store.page(log, store.Listing(sort_by="doc_conf", descending=descending, page_size=100)).orderBy("rank")
+    assert got == [r.id for r in whole.collect()] and len(got) == 23
+
+
 def test_store_rules(spark):
     with pytest.raises(ValueError):
         store.page(spark.range(1), store.Listing(page_size=0))
