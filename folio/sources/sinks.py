@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,14 +11,21 @@ from folio.operators.evaluate import mean_of_means
 from folio.operators.store import upsert
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _at(spark: SparkSession, path: str):  # noqa: ANN202
+    """The file system of a path, and the path as it takes it."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p)
 
 
 class Table:
     """A Parquet table of versions: a write makes a new one and then moves the pointer, so
-    readers see the old rows or the new ones, never a part."""
+    readers see the old rows or the new ones, never a part. One writer at a time; old versions stay
+    for those who still read them until ``vacuum``."""
 
     def __init__(self, spark: SparkSession, path: str, key: str = "id") -> None:
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
@@ -47,6 +56,14 @@ class Table:
         if old is not None:
             self.replace(old.join(ids.select(self.key), self.key, "left_anti"))
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete all but the last ``keep`` versions (1 at least) and give the number deleted."""
+        last = self._pointer() - max(keep, 1)
+        fs, p = _at(self.spark, self.path)
+        found = [f.getPath() for f in fs.listStatus(p)] if last > 0 else []
+        old = [f for f in found if f.getName()[:1] == "v" and f.getName()[1:].isdigit() and int(f.getName()[1:]) <= last]
+        return sum(fs.delete(f, True) for f in old)
+
 
 def save_result(records: DataFrame, results: DataFrame) -> DataFrame:
     """Records with what a listing shows of their results: (id, view) joined and flattened."""
@@ -79,7 +96,13 @@ def append_benchmark(spark: SparkSession, path: str, new: DataFrame, key: str, v
     # Small by contract, one row for each type: gathered before what it is read from is overwritten.
     made = (mean_of_means(old, rows, key, value) if old is not None else mean_of_means(rows, rows, key, value)).toArrow()
     out = spark.createDataFrame(made)
-    out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    # Written whole beside the old series, then moved in its place: a run that fails leaves the old one.
+    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    out.coalesce(1).write.option("header", True).csv(beside)
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+    if not fs.rename(_at(spark, beside)[1], p):
+        raise OSError(f"cannot move {beside} to {path}")
     return out
 
 

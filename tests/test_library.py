@@ -293,6 +293,8 @@ def test_table_sink(spark, tmp_path):
     assert {tuple(r) for r in t.read().collect()} == {(1, "queued", None), (2, "failed", "r2"), (3, "done", "r3")}
     t.drop(spark.createDataFrame([(1,)], "id long"))
     assert t.read().count() == 2
+    t.replace(t.read())
+    assert (t.vacuum(), t.vacuum(), t.vacuum(0), t.read().count()) == (2, 0, 1, 2)
     series = str(tmp_path / "bench")
     sinks.append_benchmark(spark, series, spark.createDataFrame([("a", 1.0)], "k string, v double"), "k", "v")
     assert sinks.append_benchmark(spark, series, spark.createDataFrame([("a", 2.0)], "k string, v double"), "k", "v").first().v == 1.5
